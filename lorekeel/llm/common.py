@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space (space, \t, \n, \v, \f, \r); every word rule of the subpackage uses it.
@@ -53,3 +53,23 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and cut its lineage there."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint()
+
+
+def keep_rows(docs: DataFrame, winners: DataFrame, digest: Column, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``docs`` named by ``winners`` (digest, id), each once, with their columns.
+
+    Texts are exchanged once, by (digest, doc_id). Rows that tie on both are ordered
+    by their text and other columns there, so a rerun picks the same one whatever way
+    the input is split.
+    """
+
+    def key(mark: Column, number: Column) -> Column:
+        return F.concat_ws(":", mark, F.coalesce(number.cast("string"), F.lit("none")))
+
+    names = docs.columns
+    best = cut(winners.select(key(F.col("digest"), F.col("id")).alias("winner")).distinct())
+    boxed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("box"), key(digest, F.col(doc_id)).alias("winner"))
+    others = F.struct(*[F.col(f"box.`{n}`") for n in names if n != text] or [F.lit(0).alias("none")])
+    tied = Window.partitionBy("winner").orderBy(F.col(f"box.`{text}`"), F.to_json(others))
+    stay = boxed.join(best, "winner", "left_semi").withColumn("place", F.row_number().over(tied))
+    return stay.where("place = 1").select("box.*")

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, whole_text
+from .common import SPACE, cut, keep_rows, whole_text
 
 #: 2 ** FAN_BITS runs meet in one round.
 FAN_BITS = 4
@@ -94,22 +94,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that stay, with the columns of ``docs``; rules as exact_duplicates.
 
-    Texts are exchanged once, by (digest, doc_id); rows that tie on both are
-    ordered by their text and other columns there, so a rerun picks the same one
-    whatever way the input is split.
+    The choice among rows that tie on digest and doc_id does not depend on how a
+    rerun splits the input.
     """
-    names = docs.columns
     entries = cut(_entries(docs, text, doc_id).withColumn("run", F.shiftright("ord", 33)))
-
-    def key(digest: Column, number: Column) -> Column:
-        return F.concat_ws(":", F.hex(digest), F.coalesce(number.cast("string"), F.lit("none")))
-
-    best = cut(merged_runs(entries).select(key(F.col("digest"), F.col("best.id")).alias("winner")))
-    boxed = docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("box"),
-        key(F.unhex(F.sha2(normalised(text), 256)), F.col(doc_id)).alias("winner"),
-    )
-    others = F.struct(*[F.col(f"box.`{n}`") for n in names if n != text] or [F.lit(0)])
-    tied = Window.partitionBy("winner").orderBy(F.col(f"box.`{text}`"), F.to_json(others))
-    stay = boxed.join(best, "winner", "left_semi").withColumn("place", F.row_number().over(tied))
-    return stay.where("place = 1").select("box.*")
+    winners = merged_runs(entries).select(F.hex("digest").alias("digest"), F.col("best.id").alias("id"))
+    return keep_rows(docs, winners, F.upper(F.sha2(normalised(text), 256)), text, doc_id)
