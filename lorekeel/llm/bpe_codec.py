@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +35,15 @@ LONG = 4096
 #: Characters of a leaf of that tree.
 LEAF = 1024
 #: Distinct words kept by a worker; beyond, the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Characters worked on at a time.
-PIECE = 1 << 20
+PIECE = 1 << 21
 
 _words = re.compile(WORD).findall
-#: Letters, then signs: two pre-tokens whose encodings do not depend on each other.
-_in_parts = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$]*)").fullmatch
+#: Texts of these characters only (no apostrophe, no "<") fall into pre-tokens that need no look around:
+#: runs of letters, single digits, runs of signs.
+_simple = re.compile("[\\x09-\\x0D\\x20-&(-;=-~À-ÖØ-öø-ÿ]*").fullmatch
+_NO_LETTERS = "([0-9]|[^a-zß-öø-ÿ0-9\\x20]+)"
 
 
 class Codec:
@@ -73,7 +76,14 @@ class Codec:
         removed = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
         self.by_word = bool(removed and rule.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+") and self.plain_added)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.in_parts = self.by_word and "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        lowers = "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        self.in_parts = self.by_word and self.by_tree and lowers and len(steps) == 2 and steps[1].get("type") == "ByteLevel"
+        if self.in_parts:
+            from tokenizers import pre_tokenizers
+
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))}
+            self.bare = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.strings = [self.tokenizer.id_to_token(i) for i in range(max(size, top))]
@@ -86,14 +96,19 @@ class Codec:
         return Codec(path)
 
     def _clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[str, int] = {}  # words
+        self.part_slot: dict[str, int] = {}  # pre-tokens of simple texts
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
 
-    def _store(self, words: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
-        n, k = len(self.slot), len(words)
+    def _make_room(self) -> None:
+        if len(self.slot) + len(self.part_slot) > self.cache_words or self.used > 16 * self.cache_words:
+            self._clear()
+
+    def _store(self, words: list[str], counts: np.ndarray, ids: np.ndarray, slot: dict[str, int] | None = None) -> None:
+        n, k = len(self.slot) + len(self.part_slot), len(words)
         while n + k > len(self.begin):
             self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(ids) > len(self.pool):
@@ -102,7 +117,7 @@ class Codec:
         self.count[n : n + k] = counts
         self.begin[n : n + k] = self.used + np.cumsum(counts) - counts
         self.used += len(ids)
-        self.slot.update(zip(words, range(n, n + k), strict=True))
+        (self.slot if slot is None else slot).update(zip(words, range(n, n + k), strict=True))
 
     def _encode_each(self, words: list[str]) -> None:
         """Store words without white space, by one library call for each thousand."""
@@ -118,23 +133,44 @@ class Codec:
                 self._store(some, np.array([len(e.ids) for e in each], np.int64), np.array([i for e in each for i in e.ids], np.int32))
 
     def _learn(self, words: list[str]) -> None:
-        short, pairs = [], []
+        self._encode_each([w for w in words if len(w) <= self.long or not self.by_tree])
         for w in words:
-            if self.in_parts and (m := _in_parts(w)) and len(w) <= self.long:
-                pairs.append((w, m.group(1).lower(), m.group(2)))
-            elif len(w) <= self.long or not self.by_tree:
-                short.append(w)
-            else:
+            if w not in self.slot:
                 ids = np.array(self.encode_long(w), np.int32)
                 self._store([w], np.array([len(ids)], np.int64), ids)
-        new = {p for _, a, b in pairs for p in (a, b) if p} - self.slot.keys() - set(short)
-        self._encode_each(sorted(new) + short)
-        if pairs := [x for x in pairs if x[0] not in self.slot]:
-            halves = [p for _, a, b in pairs for p in (a, b)]
-            if "" not in self.slot:
-                self._store([""], np.zeros(1, np.int64), np.zeros(0, np.int32))
-            ids, counts = self._gather(halves)
-            self._store([w for w, _, _ in pairs], counts.reshape(-1, 2).sum(axis=1), ids)
+
+    def _encode_simple(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of simple texts and the number of each text's, by columns of pre-tokens.
+
+        Each distinct pre-token is encoded once, by the library's model, in the form
+        that its normaliser and byte-level step give it.
+        """
+        self._make_room()
+        for space in "\t\n\v\f\r":
+            texts = [t.replace(space, " ") for t in texts]
+        lower = pc.utf8_lower(pa.array(texts, pa.string()))
+        parts = pc.split_pattern(pc.replace_substring_regex(lower, pattern=_NO_LETTERS, replacement=r" \1 "), " ")
+        coded = parts.values.dictionary_encode()
+        own, slot = coded.dictionary.to_pylist(), self.part_slot
+        found_at = np.fromiter(map(slot.get, own, itertools.repeat(-1)), np.int64, len(own))
+        missing = np.flatnonzero(found_at < 0).tolist()
+        new = [own[i] for i in missing]
+        short = [p for p in new if p and len(p) <= self.leaf]
+        for at in range(0, len(short), 1000):
+            some = short[at : at + 1000]
+            found = self.bare.encode(" ".join([p if p.isascii() else p.translate(self.bytes) for p in some]), add_special_tokens=False)
+            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+            self._store(some, counts, np.array(found.ids, np.int32), slot)
+        for p in new:
+            if p not in slot:
+                ids = np.array(self.encode_part(p.translate(self.bytes)) if p else [], np.int32)
+                self._store([p], np.array([len(ids)], np.int64), ids, slot)
+        found_at[missing] = [slot[p] for p in new]
+        at = found_at[coded.indices.to_numpy()]
+        counts = self.count[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.pool[np.repeat(self.begin[at] - ends[1:] + counts, counts) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.int32)
+        return ids, np.diff(ends[parts.offsets.to_numpy()])
 
     def _gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
@@ -146,8 +182,7 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and the number of each word's."""
-        if len(self.slot) > self.cache_words or self.used > 16 * self.cache_words:
-            self._clear()
+        self._make_room()
         new = set(words).difference(self.slot)
         if new:
             self._learn(sorted(new))
@@ -163,11 +198,15 @@ class Codec:
                 parts = [self.encode_words(_words(p))[0] for p in _pieces(group[0])]
                 out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
                 continue
-            lists = [_words(t) for t in group]
-            ids, counts = self.encode_words(list(itertools.chain.from_iterable(lists)))
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            stops = ends[np.cumsum([0, *map(len, lists)])]
-            out += [ids[a:b] for a, b in itertools.pairwise(stops.tolist())]
+            easy = [self.in_parts and _simple(t) is not None for t in group]
+            done = iter(_split(*self._encode_simple([t for t, e in zip(group, easy, strict=True) if e]))) if any(easy) else iter(())
+            lists = [_words(t) for t, e in zip(group, easy, strict=True) if not e]
+            rest = iter(())
+            if lists:
+                ids, counts = self.encode_words(list(itertools.chain.from_iterable(lists)))
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                rest = iter(_split(ids, np.diff(ends[np.cumsum([0, *map(len, lists)])])))
+            out += [next(done if e else rest) for e in easy]
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -224,6 +263,11 @@ class Codec:
             width *= 2
 
 
+def _split(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    stops = np.concatenate(([0], np.cumsum(counts))).tolist()
+    return [ids[a:b] for a, b in itertools.pairwise(stops)]
+
+
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     """The texts in runs of about PIECE characters; a longer text is a run of its own."""
     group: list[str] = []
@@ -248,7 +292,7 @@ def _pieces(text: str) -> Iterator[str]:
         at = end
 
 
-def batches(frame: pa.RecordBatch, column: str, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def batches(frame: pa.RecordBatch, column: str, rows: int = 640) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of an Arrow batch with the texts of a column."""
     for at in range(0, frame.num_rows, rows):
         some = frame.slice(at, rows)

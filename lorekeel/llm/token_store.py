@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from .bpe_codec import Codec, batches
 from .common import shared_dir, whole_text
 
-#: A chunk ends where the low bits of the rolling hash are 0: 256 ids on average.
-CUT_BITS = 8
+#: A chunk ends where the high bits of the rolling hash are 0: 512 ids on average.
+CUT_BITS = 9
 #: Ids that the rolling hash looks back over.
 SPAN = 16
 #: A chunk ends after so many ids at the latest.
@@ -99,7 +99,7 @@ def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) ->
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sent = Codec.at(path), OrderedDict()
         for part in parts:
-            for rows, texts in batches(part, "text", 256):
+            for rows, texts in batches(part, "text"):
                 out: list[tuple] = []
                 for number, order, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), codec.encode_all(texts), strict=True):
                     ids, begin, chunks = np.append(found, np.int32(end_id)), 0, []
