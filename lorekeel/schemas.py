@@ -7,8 +7,35 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = "1"
 
 
+_PLAIN = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "binary": T.BinaryType()}
+
+
+def _split(text: str) -> list[str]:
+    """Pieces between the commas outside of any brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append(text[start:i].strip())
+            start = i + 1
+    return [*out, text[start:].strip()]
+
+
+def _type(text: str) -> T.DataType:
+    kind, _, inner = text.strip().partition("<")
+    if not inner:
+        return _PLAIN[kind]
+    parts = _split(inner[:-1])
+    if kind == "array":
+        return T.ArrayType(_type(parts[0]))
+    if kind == "map":
+        return T.MapType(_type(parts[0]), _type(parts[1]))
+    return T.StructType([T.StructField(name.strip(), _type(rest)) for name, _, rest in (p.partition(":") for p in parts)])
+
+
 def struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)  # type: ignore[return-value]
+    """A schema from ``name type, …``; unlike Spark's own parser it needs no session."""
+    return T.StructType([T.StructField(name, _type(rest)) for name, _, rest in (p.partition(" ") for p in _split(ddl))])
 
 
 PATH = "struct<root_id:string,parent_ids:array<string>,parts:array<string>>"
