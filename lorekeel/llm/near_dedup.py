@@ -13,9 +13,9 @@ one label. Then only members of different labels meet. A value under more than
 documents that list it are listed instead under their next smallest values that are
 not common, and those whose sketch is largely common also under compound values (the
 three smallest of a residue class). Nothing is capped: two sets at the threshold
-share each of the smallest values of their union with probability 0.75, so that
-``LISTED`` lists miss a pair with probability 0.25 ** 16, and the estimate drops it
-with that of a deviation of more than five sigma.
+share each of the smallest values of their union with probability 0.75, so that fewer
+than ``OVERLAP`` of the ``LISTED`` lists propose a pair with a probability under 1e-6,
+and the estimate drops it with that of a deviation of more than five sigma.
 """
 
 from __future__ import annotations
@@ -37,13 +37,15 @@ from .components import connected_components
 #: Words of a shingle; similarity (in hundredths) from which two documents are linked.
 WORDS, SIMILAR = 5, 75
 #: Retained values of a sketch, and those of them with inverted lists.
-KEPT, LISTED = 96, 16
+KEPT, LISTED = 64, 16
+#: Lists that must propose a pair: at the threshold fewer of 16 do so with a probability under 1e-6.
+OVERLAP = 3
 #: Labels under a value from which on it counts as common.
 COMMON = 24
 #: Share of common values in a sketch from which compound values are listed too, and their number and length.
 LARGELY, CLASSES, DEEP = 0.3, 24, 3
 #: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
-ESTIMATE = 0.52
+ESTIMATE = 0.47
 #: At most so many numbers are broadcast to pick the rows to verify; beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -120,31 +122,37 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
+def _bounded(frame: DataFrame) -> DataFrame:
+    """A written frame of a few long columns, marked for broadcast where its row count allows it."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, sure of the pairs whose union sketch lets them pass; sure: the sketches were the full sets."""
-    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    met = pairs.select("a", "b").join(right, "b").join(left, "a").where(_sizes_fit(F.col("na"), F.col("nb")))
+    pairs = cut(pairs)
+    some = classes.join(_bounded(_nodes(pairs)), "cid", "left_semi")
+    left = some.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = some.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    met = pairs.select("a", "b").join(right, "b").join(left, "a")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, KEPT)
     met = met.withColumn("u", union).withColumn("i", F.array_intersect("sa", "sb"))
     full = (F.col("na") <= KEPT) & (F.col("nb") <= KEPT)
     exact = 100 * F.size("i") >= SIMILAR * (F.col("na") + F.col("nb") - F.size("i"))
     near = F.size(F.array_intersect("u", "i")) >= ESTIMATE * F.size("u")
-    return met.where(F.when(full, exact).otherwise(near)).select("a", "b", full.alias("sure"))
+    return cut(met.where(F.when(full, exact).otherwise(near)).select("a", "b", full.alias("sure")))
 
 
 def _verified(passed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The links (a, b): pairs that reach the similarity on their full sets."""
-    passed = cut(passed)
     open_pairs = passed.where("not sure").select("a", "b")
-    nodes = open_pairs.select(F.col("a").alias("cid")).unionByName(open_pairs.select(F.col("b").alias("cid"))).distinct()
-    chosen = cut(nodes.join(classes, "cid").select("cid", "doc_id", "digest"))
-    ids = chosen.select(F.col("doc_id").alias("pick")).distinct()
-    if chosen.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    chosen = cut(classes.select("cid", "doc_id", "digest").join(_bounded(_nodes(open_pairs)), "cid", "left_semi"))
+    ids = _bounded(cut(chosen.select(F.col("doc_id").alias("pick")).distinct()))
     rows = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("pick")), "left_semi")
-    sets = full_sets(rows, text).join(chosen.select("digest", "cid"), "digest").dropDuplicates(["cid"])
-    sets = sets.select("cid", "values")
+    sets = cut(full_sets(rows, text).join(_bounded(chosen.select("digest", "cid")), "digest").dropDuplicates(["cid"]).select("cid", "values"))
     right = open_pairs.join(sets.select(F.col("cid").alias("b"), F.col("values").alias("vb")), "b")
     both = right.join(sets.select(F.col("cid").alias("a"), F.col("values").alias("va")), "a")
     shared = F.size(F.array_intersect("va", "vb"))
@@ -153,31 +161,49 @@ def _verified(passed: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return cut(passed.where("sure").select("a", "b").unionByName(found))
 
 
+def _overlapping(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b, n: size of the smaller set) that enough lists propose; any list for small sets."""
+    seen = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
+    return seen.where((F.col("lists") >= OVERLAP) | (F.col("n") <= LISTED)).select("a", "b")
+
+
 def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _star_pairs(entries: DataFrame) -> DataFrame:
+def _with_size(m: Column, n: Column) -> Column:
+    return F.least(m, n).alias("n")
+
+
+def _shared_lists(entries: DataFrame) -> DataFrame:
+    """The entries (value, cid, n) of lists with two members or more, with the ends of their list."""
+    ends = entries.groupBy("value").agg(
+        F.min("cid").alias("low"), F.min_by("n", "cid").alias("low_n"), F.max("cid").alias("high"), F.max_by("n", "cid").alias("high_n")
+    )
+    return cut(entries.join(ends.where("low < high"), "value"))
+
+
+def _star_pairs(listed: DataFrame) -> DataFrame:
     """Each member of a list with the list's two ends."""
-    ends = entries.groupBy("value").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
-    met = entries.join(ends, "value").select("cid", F.explode(F.array("low", "high")).alias("end")).where("cid != end")
-    return met.select(*_pair(F.col("cid"), F.col("end"))).distinct()
+    ends = F.array(F.struct(F.col("low").alias("cid"), F.col("low_n").alias("n")), F.struct(F.col("high").alias("cid"), F.col("high_n").alias("n")))
+    met = listed.select("cid", "n", F.explode(ends).alias("end")).where((F.col("cid") != F.col("end.cid")) & _sizes_fit(F.col("n"), F.col("end.n")))
+    return _overlapping(met.select(*_pair(F.col("cid"), F.col("end.cid")), _with_size(F.col("n"), F.col("end.n"))))
 
 
-def _cross_pairs(entries: DataFrame, counts: DataFrame) -> DataFrame:
-    """Pairs of a list's members under different labels, of sizes that fit.
+def _cross_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs of a list's members under different labels, of sizes that fit, once for each list.
 
-    ``entries``: value, cid, n, label; ``counts``: value, label of the lists to use.
+    ``entries``: value, cid, n, label; ``lists``: value, label of the lists to use.
     Labels of a list meet first, then their members, so members of one label never do.
     """
-    x, y = counts.alias("x"), counts.alias("y")
+    x, y = lists.alias("x"), lists.alias("y")
     labels = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label"))).select(
         F.col("x.value").alias("value"), F.col("x.label").alias("p"), F.col("y.label").alias("q")
     )
     one = entries.select(F.col("value"), F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"))
     two = entries.select(F.col("value"), F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"))
     met = labels.join(one, ["value", "p"]).join(two, ["value", "q"]).where(_sizes_fit(F.col("nc"), F.col("nd")))
-    return met.select(*_pair(F.col("c"), F.col("d")))
+    return met.select(*_pair(F.col("c"), F.col("d")), _with_size(F.col("nc"), F.col("nd")))
 
 
 def _labels_by_value(entries: DataFrame) -> DataFrame:
@@ -187,28 +213,33 @@ def _labels_by_value(entries: DataFrame) -> DataFrame:
     return cut(each.join(many, "value"))
 
 
-def _second_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
+def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
     """All further pairs that lists propose between different labels."""
-    known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    known = cut(known.select("cid", "n", "label", "sketch"))
-    listed = known.select("cid", "n", "label", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
+    named = _bounded(labels.withColumnRenamed("node", "cid"))
+
+    def labelled(frame: DataFrame) -> DataFrame:
+        return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    listed = cut(labelled(listed.select("cid", "n", "value")))
     lists = _labels_by_value(listed)
     rare = lists.where(F.col("labels") <= COMMON).select("value", "label")
-    pairs = _cross_pairs(listed, rare)
+    pairs = _overlapping(_cross_pairs(listed, rare))
 
-    common = lists.where(F.col("labels") > COMMON).select("value").distinct()
-    touched = listed.join(common, "value", "left_semi").select("cid").distinct()
-    deep = cut(known.join(touched, "cid", "left_semi").select("cid", "n", "label", F.posexplode("sketch").alias("rank", "value")))
+    common = cut(lists.where(F.col("labels") > COMMON).select("value").distinct())
+    touched = cut(listed.join(common, "value", "left_semi").select("cid").distinct())
+    known = cut(labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi")))
+    deep = known.select("cid", "n", "label", F.posexplode("sketch").alias("rank", "value"))
     deep_lists = _labels_by_value(deep)
     often = cut(deep_lists.where(F.col("labels") > COMMON).select("value").unionByName(common).distinct())
     marked = cut(
-        deep.join(often.select(F.col("value").alias("often")), F.col("value") == F.col("often"), "left").select(
+        deep.join(_bounded(often.withColumnRenamed("value", "often")), F.col("value") == F.col("often"), "left").select(
             "cid", "n", "label", "rank", "value", F.col("often").isNotNull().alias("common")
         )
     )
     place = Window.partitionBy("cid").orderBy("rank")
     next_best = marked.where("not common").withColumn("place", F.row_number().over(place)).where(F.col("place") <= LISTED)
-    pairs = pairs.unionByName(_cross_pairs(next_best.select("cid", "n", "label", "value"), deep_lists.select("value", "label")))
+    next_best = cut(next_best.select("cid", "n", "label", "value"))
+    pairs = pairs.unionByName(_overlapping(_cross_pairs(next_best, deep_lists.where(F.col("labels") <= COMMON).select("value", "label"))))
 
     shares = marked.groupBy("cid").agg(F.avg(F.col("common").cast("double")).alias("share")).where(F.col("share") >= LARGELY)
     largely = known.join(shares.select("cid"), "cid", "left_semi")
@@ -218,7 +249,8 @@ def _second_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     )
     compound = largely.select("cid", "n", "label", F.explode(F.filter(kinds, lambda k: F.size(k["v"]) > 0)).alias("k"))
     compound = cut(compound.select("cid", "n", "label", F.xxhash64("k.c", F.array_join(F.transform("k.v", lambda v: v.cast("string")), ",")).alias("value")))
-    return pairs.unionByName(_cross_pairs(compound, _labels_by_value(compound).select("value", "label"))).distinct()
+    lists = _labels_by_value(compound)
+    return pairs.unionByName(_cross_pairs(compound, lists.select("value", "label")).select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -238,10 +270,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     heads = some.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(heads.select(F.col("best.ord").alias("cid"), F.col("best.doc_id").alias("doc_id"), "digest", "n", "sketch"))
 
-    entries = classes.select("cid", F.explode(F.slice("sketch", 1, LISTED)).alias("value"))
-    links = _verified(_estimated(_star_pairs(entries), classes), classes, docs, text, doc_id)
+    listed = _shared_lists(classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value")))
+    links = _verified(_estimated(_star_pairs(listed), classes), classes, docs, text, doc_id)
     labels = cut(connected_components(links))
-    more = _verified(_estimated(_second_pairs(classes, labels), classes), classes, docs, text, doc_id)
+    more = _verified(_estimated(_second_pairs(classes, listed, labels), classes), classes, docs, text, doc_id)
     joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = cut(connected_components(joined.unionByName(more)))
 
