@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 #: ASCII white space (space, \t, \n, \v, \f, \r); every word rule of the subpackage uses it.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
