@@ -8,14 +8,20 @@ and the rest is decided on the full sets.
 
 A list's pairs are never all written. First each member meets the list's two ends (a
 star); the links found make components, so that a large group of near copies becomes
-one label. Then only members of different labels meet. A value under more than
-``COMMON`` labels is common (a passage or a line that unrelated documents share): the
-documents that list it are listed instead under their next smallest values that are
-not common, and those whose sketch is largely common also under compound values (the
-three smallest of a residue class). Nothing is capped: two sets at the threshold
-share each of the smallest values of their union with probability 0.75, so that fewer
-than ``OVERLAP`` of the ``LISTED`` lists propose a pair with a probability under 1e-6,
-and the estimate drops it with that of a deviation of more than five sigma.
+one label. Then only members of different labels meet, in lists under few labels. A
+value under more than ``COMMON`` labels is common (a passage or a line that unrelated
+documents share). Documents that list one meet through all their retained values that
+are not common, where a part as large as the threshold implies must be shared; and
+each meets the smallest document of every common value and of every compound value
+(the three smallest of a residue class) that it retains. Where documents share little
+but common text, the smallest is the one that all others resemble most: extras only
+lower a similarity, so two that reach the threshold reach it with the smallest too.
+
+Nothing is capped. Two sets at the threshold share each of the smallest values of
+their union with probability 0.75: the lists then miss a pair with a probability of
+about 1e-6, and the estimate drops it with that of more than five sigma. Pairs of
+documents made of the same several common passages and little else rest on the
+compound values.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +43,15 @@ from .components import connected_components
 #: Words of a shingle; similarity (in hundredths) from which two documents are linked.
 WORDS, SIMILAR = 5, 75
 #: Retained values of a sketch, and those of them with inverted lists.
-KEPT, LISTED = 64, 16
-#: Lists that must propose a pair: at the threshold fewer of 16 do so with a probability under 1e-6.
-OVERLAP = 3
-#: Labels under a value from which on it counts as common.
-COMMON = 24
-#: Share of common values in a sketch from which compound values are listed too, and their number and length.
-LARGELY, CLASSES, DEEP = 0.3, 24, 3
+KEPT, LISTED = 64, 24
+#: Lists that must propose a pair: at the threshold fewer of 24 do so with a probability of about 1e-6.
+OVERLAP = 7
+#: A value under more labels counts as common.
+COMMON = 12
+#: Of m retained values that are not common, at least (m - DEEP_FREE) * DEEP_SHARE must be shared, and one.
+DEEP_FREE, DEEP_SHARE = 24, 0.4
+#: Compound values: residue classes, and the smallest values of a class that make one.
+CLASSES, DEEP = 24, 3
 #: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
 ESTIMATE = 0.47
 #: At most so many numbers are broadcast to pick the rows to verify; beyond, they are joined.
@@ -161,20 +169,21 @@ def _verified(passed: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return cut(passed.where("sure").select("a", "b").unionByName(found))
 
 
+def _needed(n: Column) -> Column:
+    """Lists that must propose a pair with a set of this size."""
+    return F.when(n <= LISTED, F.lit(1)).otherwise(F.lit(OVERLAP))
+
+
 def _overlapping(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, n: size of the smaller set) that enough lists propose; any list for small sets."""
-    seen = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("n").alias("n"))
-    return seen.where((F.col("lists") >= OVERLAP) | (F.col("n") <= LISTED)).select("a", "b")
+    """a, b of the pairs (a, b, need) that enough lists propose."""
+    seen = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("need").alias("need"))
+    return seen.where(F.col("lists") >= F.col("need")).select("a", "b")
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _with_size(m: Column, n: Column) -> Column:
-    return F.least(m, n).alias("n")
-
-
 def _shared_lists(entries: DataFrame) -> DataFrame:
     """The entries (value, cid, n) of lists with two members or more, with the ends of their list."""
     ends = entries.groupBy("value").agg(
@@ -187,23 +196,30 @@ def _star_pairs(listed: DataFrame) -> DataFrame:
     """Each member of a list with the list's two ends."""
     ends = F.array(F.struct(F.col("low").alias("cid"), F.col("low_n").alias("n")), F.struct(F.col("high").alias("cid"), F.col("high_n").alias("n")))
     met = listed.select("cid", "n", F.explode(ends).alias("end")).where((F.col("cid") != F.col("end.cid")) & _sizes_fit(F.col("n"), F.col("end.n")))
-    return _overlapping(met.select(*_pair(F.col("cid"), F.col("end.cid")), _with_size(F.col("n"), F.col("end.n"))))
+    return _overlapping(met.select(*_pair(F.col("cid"), F.col("end.cid")), _needed(F.least("n", "end.n")).alias("need")))
+
+
+def _smallest_pairs(entries: DataFrame) -> DataFrame:
+    """Each member of a list with the smallest set in it (value, cid, n)."""
+    ends = entries.groupBy("value").agg(F.min(F.struct("n", "cid")).alias("end"))
+    met = entries.join(ends, "value").where((F.col("cid") != F.col("end.cid")) & _sizes_fit(F.col("n"), F.col("end.n")))
+    return met.select(*_pair(F.col("cid"), F.col("end.cid"))).distinct()
 
 
 def _cross_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
     """Pairs of a list's members under different labels, of sizes that fit, once for each list.
 
-    ``entries``: value, cid, n, label; ``lists``: value, label of the lists to use.
+    ``entries``: value, cid, n, label, need; ``lists``: value, label of the lists to use.
     Labels of a list meet first, then their members, so members of one label never do.
     """
     x, y = lists.alias("x"), lists.alias("y")
     labels = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label"))).select(
         F.col("x.value").alias("value"), F.col("x.label").alias("p"), F.col("y.label").alias("q")
     )
-    one = entries.select(F.col("value"), F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"))
-    two = entries.select(F.col("value"), F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"))
+    one = entries.select(F.col("value"), F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"), F.col("need").alias("x"))
+    two = entries.select(F.col("value"), F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"), F.col("need").alias("y"))
     met = labels.join(one, ["value", "p"]).join(two, ["value", "q"]).where(_sizes_fit(F.col("nc"), F.col("nd")))
-    return met.select(*_pair(F.col("c"), F.col("d")), _with_size(F.col("nc"), F.col("nd")))
+    return met.select(*_pair(F.col("c"), F.col("d")), F.least("x", "y").alias("need"))
 
 
 def _labels_by_value(entries: DataFrame) -> DataFrame:
@@ -220,37 +236,42 @@ def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> D
     def labelled(frame: DataFrame) -> DataFrame:
         return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    listed = cut(labelled(listed.select("cid", "n", "value")))
+    listed = cut(labelled(listed.select("cid", "n", "value")).withColumn("need", _needed(F.col("n"))))
     lists = _labels_by_value(listed)
     rare = lists.where(F.col("labels") <= COMMON).select("value", "label")
     pairs = _overlapping(_cross_pairs(listed, rare))
 
+    # Sets with common values: all their retained values, common or not.
     common = cut(lists.where(F.col("labels") > COMMON).select("value").distinct())
     touched = cut(listed.join(common, "value", "left_semi").select("cid").distinct())
     known = cut(labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi")))
-    deep = known.select("cid", "n", "label", F.posexplode("sketch").alias("rank", "value"))
+    deep = cut(known.select("cid", "n", "label", F.explode("sketch").alias("value")))
     deep_lists = _labels_by_value(deep)
     often = cut(deep_lists.where(F.col("labels") > COMMON).select("value").unionByName(common).distinct())
-    marked = cut(
-        deep.join(_bounded(often.withColumnRenamed("value", "often")), F.col("value") == F.col("often"), "left").select(
-            "cid", "n", "label", "rank", "value", F.col("often").isNotNull().alias("common")
-        )
-    )
-    place = Window.partitionBy("cid").orderBy("rank")
-    next_best = marked.where("not common").withColumn("place", F.row_number().over(place)).where(F.col("place") <= LISTED)
-    next_best = cut(next_best.select("cid", "n", "label", "value"))
-    pairs = pairs.unionByName(_overlapping(_cross_pairs(next_best, deep_lists.where(F.col("labels") <= COMMON).select("value", "label"))))
+    frequent = deep.join(_bounded(often), "value", "left_semi")
+    own = deep.groupBy("cid").agg(F.count("*").alias("m"))
+    shared = frequent.groupBy("cid").agg(F.count("*").alias("k"))
+    need = F.greatest(F.lit(1), F.floor((F.col("m") - F.coalesce("k", F.lit(0)) - DEEP_FREE) * DEEP_SHARE)).cast("int")
+    needs = cut(own.join(shared, "cid", "left").select("cid", need.alias("need")))
+    rest = deep_lists.where(F.col("labels") <= COMMON).select("value", "label")
+    own_lists = deep.join(rest.select("value").distinct(), "value", "left_semi").join(_bounded(needs), "cid")
+    pairs = pairs.unionByName(_overlapping(_cross_pairs(cut(own_lists), rest)))
 
-    shares = marked.groupBy("cid").agg(F.avg(F.col("common").cast("double")).alias("share")).where(F.col("share") >= LARGELY)
-    largely = known.join(shares.select("cid"), "cid", "left_semi")
     kinds = F.transform(
         F.sequence(F.lit(0), F.lit(CLASSES - 1)),
         lambda c: F.struct(c.alias("c"), F.slice(F.filter("sketch", lambda v: F.pmod(v, F.lit(CLASSES)) == c), 1, DEEP).alias("v")),
     )
-    compound = largely.select("cid", "n", "label", F.explode(F.filter(kinds, lambda k: F.size(k["v"]) > 0)).alias("k"))
-    compound = cut(compound.select("cid", "n", "label", F.xxhash64("k.c", F.array_join(F.transform("k.v", lambda v: v.cast("string")), ",")).alias("value")))
-    lists = _labels_by_value(compound)
-    return pairs.unionByName(_cross_pairs(compound, lists.select("value", "label")).select("a", "b")).distinct()
+    compound = known.select("cid", "n", F.explode(F.filter(kinds, lambda k: F.size(k["v"]) > 1)).alias("k"))
+    compound = compound.select("cid", "n", F.xxhash64("k.c", F.array_join(F.transform("k.v", lambda v: v.cast("string")), ",")).alias("value"))
+    stars = _smallest_pairs(frequent.select("cid", "n", "value")).unionByName(_smallest_pairs(compound))
+    return pairs.unionByName(_other_labels(stars.distinct(), named)).distinct()
+
+
+def _other_labels(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet; ``named``: cid, label."""
+    p, q = (named.select(F.col("cid").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
+    met = pairs.join(p, "a", "left").join(q, "b", "left")
+    return met.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
