@@ -12,16 +12,17 @@ one label. Then only members of different labels meet, in lists under few labels
 value under more than ``COMMON`` labels is common (a passage or a line that unrelated
 documents share). Documents that list one meet through all their retained values that
 are not common, where a part as large as the threshold implies must be shared; and
-each meets the smallest document of every common value and of every compound value
-(the three smallest of a residue class) that it retains. Where documents share little
-but common text, the smallest is the one that all others resemble most: extras only
-lower a similarity, so two that reach the threshold reach it with the smallest too.
+each meets the smallest document of every common value, and its neighbours in sorted
+orders of the sketches. Where documents share little but common text, the smallest is
+the one that all others resemble most: extras only lower a similarity, so two that
+reach the threshold reach it with the smallest too. Up to ``TURNS`` turns follow each
+other while they find links, each with the labels and orders of its own.
 
 Nothing is capped. Two sets at the threshold share each of the smallest values of
 their union with probability 0.75: the lists then miss a pair with a probability of
-about 1e-6, and the estimate drops it with that of more than five sigma. Pairs of
-documents made of the same several common passages and little else rest on the
-compound values.
+about 1e-6, and the estimate drops it with that of more than five sigma. Links
+whose sets share nothing but common values rest on the stars and sorted orders, which
+find the closest partners of a document and not all of them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +51,8 @@ OVERLAP = 7
 COMMON = 12
 #: Of m retained values that are not common, at least (m - DEEP_FREE) * DEEP_SHARE must be shared, and one.
 DEEP_FREE, DEEP_SHARE = 24, 0.4
-#: Compound values: residue classes, and the smallest values of a class that make one.
-CLASSES, DEEP = 24, 3
+#: Turns of looking for links between labels, and sorted orders of each; a turn without a link ends them.
+TURNS, ORDERS = 2, 12
 #: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
 ESTIMATE = 0.47
 #: At most so many numbers are broadcast to pick the rows to verify; beyond, they are joined.
@@ -200,26 +201,47 @@ def _star_pairs(listed: DataFrame) -> DataFrame:
 
 
 def _smallest_pairs(entries: DataFrame) -> DataFrame:
-    """Each member of a list with the smallest set in it (value, cid, n)."""
-    ends = entries.groupBy("value").agg(F.min(F.struct("n", "cid")).alias("end"))
-    met = entries.join(ends, "value").where((F.col("cid") != F.col("end.cid")) & _sizes_fit(F.col("n"), F.col("end.n")))
-    return met.select(*_pair(F.col("cid"), F.col("end.cid"))).distinct()
+    """Each member of a list (value, cid, n, label) with the smallest set in it, where labels differ."""
+    ends = entries.groupBy("value").agg(F.min(F.struct("n", "cid", "label")).alias("end"))
+    far = entries.join(ends, "value").where((F.col("label") != F.col("end.label")) & _sizes_fit(F.col("n"), F.col("end.n")))
+    return far.select(*_pair(F.col("cid"), F.col("end.cid"))).distinct()
+
+
+def _neighbour_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """Each set (cid, n, label, sketch) with its neighbours in ORDERS sorted orders, where labels differ.
+
+    An order sorts the sketches by their values under a hash of its own, smallest first;
+    sets next to each other share the longest run of smallest values, so they are the
+    likeliest of a large group to be linked.
+    """
+    kinds = F.explode(F.sequence(F.lit(turn * ORDERS), F.lit(turn * ORDERS + ORDERS - 1)))
+    keyed = known.select("cid", "n", "label", kinds.alias("order"), "sketch")
+    keyed = keyed.withColumn("key", F.slice(F.sort_array(F.transform("sketch", lambda v: F.xxhash64(v, F.col("order")))), 1, 8)).drop("sketch")
+    at = Window.partitionBy("order", F.get("key", F.lit(0))).orderBy("key", "cid")
+    me = F.struct("cid", "n", "label")
+    seen = keyed.select(me.alias("me"), F.lag(me).over(at).alias("end"))
+    far = seen.where((F.col("me.label") != F.col("end.label")) & _sizes_fit(F.col("me.n"), F.col("end.n")))
+    return far.select(*_pair(F.col("me.cid"), F.col("end.cid"))).distinct()
 
 
 def _cross_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """Pairs of a list's members under different labels, of sizes that fit, once for each list.
+    """a, b: members of different labels, of sizes that fit, whose labels enough lists bring together.
 
     ``entries``: value, cid, n, label, need; ``lists``: value, label of the lists to use.
-    Labels of a list meet first, then their members, so members of one label never do.
+    Labels of a list meet first and are counted; their members meet once, so members of
+    one label never do, and a list adds no pairs of its own.
     """
     x, y = lists.alias("x"), lists.alias("y")
-    labels = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label"))).select(
-        F.col("x.value").alias("value"), F.col("x.label").alias("p"), F.col("y.label").alias("q")
-    )
-    one = entries.select(F.col("value"), F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"), F.col("need").alias("x"))
-    two = entries.select(F.col("value"), F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"), F.col("need").alias("y"))
-    met = labels.join(one, ["value", "p"]).join(two, ["value", "q"]).where(_sizes_fit(F.col("nc"), F.col("nd")))
-    return met.select(*_pair(F.col("c"), F.col("d")), F.least("x", "y").alias("need"))
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")))
+    labels = met.groupBy(F.col("x.label").alias("p"), F.col("y.label").alias("q")).agg(F.count("*").alias("lists"))
+    members = cut(entries.select("cid", "n", "label", "need").distinct())
+    needs = cut(members.groupBy("label").agg(F.min("need").alias("need")))
+    labels = labels.join(needs.select(F.col("label").alias("p"), F.col("need").alias("x")), "p").join(needs.select(F.col("label").alias("q"), F.col("need").alias("y")), "q")
+    near = labels.where(F.col("lists") >= F.least("x", "y")).select("p", "q")
+    one = members.select(F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"))
+    two = members.select(F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"))
+    pairs = near.join(one, "p").join(two, "q").where(_sizes_fit(F.col("nc"), F.col("nd")))
+    return pairs.select(*_pair(F.col("c"), F.col("d"))).distinct()
 
 
 def _labels_by_value(entries: DataFrame) -> DataFrame:
@@ -229,22 +251,22 @@ def _labels_by_value(entries: DataFrame) -> DataFrame:
     return cut(each.join(many, "value"))
 
 
-def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """All further pairs that lists propose between different labels."""
+def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
     named = _bounded(labels.withColumnRenamed("node", "cid"))
+    return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    def labelled(frame: DataFrame) -> DataFrame:
-        return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    listed = cut(labelled(listed.select("cid", "n", "value")).withColumn("need", _needed(F.col("n"))))
+def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Further pairs that lists propose between different labels."""
+    listed = cut(_labelled(listed.select("cid", "n", "value"), labels).withColumn("need", _needed(F.col("n"))))
     lists = _labels_by_value(listed)
     rare = lists.where(F.col("labels") <= COMMON).select("value", "label")
-    pairs = _overlapping(_cross_pairs(listed, rare))
+    pairs = _cross_pairs(listed.join(rare.select("value").distinct(), "value", "left_semi"), rare)
 
     # Sets with common values: all their retained values, common or not.
     common = cut(lists.where(F.col("labels") > COMMON).select("value").distinct())
     touched = cut(listed.join(common, "value", "left_semi").select("cid").distinct())
-    known = cut(labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi")))
+    known = cut(_labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi"), labels))
     deep = cut(known.select("cid", "n", "label", F.explode("sketch").alias("value")))
     deep_lists = _labels_by_value(deep)
     often = cut(deep_lists.where(F.col("labels") > COMMON).select("value").unionByName(common).distinct())
@@ -255,23 +277,10 @@ def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> D
     needs = cut(own.join(shared, "cid", "left").select("cid", need.alias("need")))
     rest = deep_lists.where(F.col("labels") <= COMMON).select("value", "label")
     own_lists = deep.join(rest.select("value").distinct(), "value", "left_semi").join(_bounded(needs), "cid")
-    pairs = pairs.unionByName(_overlapping(_cross_pairs(cut(own_lists), rest)))
-
-    kinds = F.transform(
-        F.sequence(F.lit(0), F.lit(CLASSES - 1)),
-        lambda c: F.struct(c.alias("c"), F.slice(F.filter("sketch", lambda v: F.pmod(v, F.lit(CLASSES)) == c), 1, DEEP).alias("v")),
-    )
-    compound = known.select("cid", "n", F.explode(F.filter(kinds, lambda k: F.size(k["v"]) > 1)).alias("k"))
-    compound = compound.select("cid", "n", F.xxhash64("k.c", F.array_join(F.transform("k.v", lambda v: v.cast("string")), ",")).alias("value"))
-    stars = _smallest_pairs(frequent.select("cid", "n", "value")).unionByName(_smallest_pairs(compound))
-    return pairs.unionByName(_other_labels(stars.distinct(), named)).distinct()
-
+    pairs = pairs.unionByName(_cross_pairs(cut(own_lists), rest))
 
-def _other_labels(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet; ``named``: cid, label."""
-    p, q = (named.select(F.col("cid").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b"))
-    met = pairs.join(p, "a", "left").join(q, "b", "left")
-    return met.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    stars = _smallest_pairs(frequent.select("value", "cid", "n", "label"))
+    return pairs.unionByName(stars).unionByName(_neighbour_pairs(known, turn)).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -294,9 +303,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     listed = _shared_lists(classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value")))
     links = _verified(_estimated(_star_pairs(listed), classes), classes, docs, text, doc_id)
     labels = cut(connected_components(links))
-    more = _verified(_estimated(_second_pairs(classes, listed, labels), classes), classes, docs, text, doc_id)
-    joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = cut(connected_components(joined.unionByName(more)))
+    for turn in range(TURNS):
+        more = _verified(_estimated(_second_pairs(classes, listed, labels, turn), classes), classes, docs, text, doc_id)
+        if more.isEmpty():  # no two labels are linked, as far as the lists tell
+            break
+        joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = cut(connected_components(joined.unionByName(more)))
 
     named = classes.select("cid", "doc_id", "digest").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = cut(named)
