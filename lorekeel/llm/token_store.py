@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, path: str, store: str | None = None, text: str
             yield pa.RecordBatch.from_arrays([*columns, *part.columns], ["part", "local_start", *part.schema.names])
             at = int(ends[-1]) if len(ends) else at
 
-    seen = spark.read.schema(OCCURRENCE.rpartition(", ")[0] + ", stored boolean").parquet(f"{store}/chunks")
+    seen = chunk_table(spark, store)
     recipes = seen.groupBy("ord", "doc_id").agg(
         F.max("n_tokens").alias("n_tokens"),
         F.max("root").alias("root"),
@@ -216,6 +216,11 @@ def crc_shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 
+def chunk_table(spark: SparkSession, store: str) -> DataFrame:
+    """The rows of chunks/, with their declared types."""
+    return spark.read.schema(OCCURRENCE.rpartition(", ")[0] + ", stored boolean").parquet(f"{store}/chunks")
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, ord, start, n_tokens, ids_crc32 of every document, from the files alone.
 
@@ -224,7 +229,7 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     is put together from those of its chunks, so bytes are read once for a chunk and
     never moved.
     """
-    chunks = spark.read.schema(OCCURRENCE.rpartition(", ")[0] + ", stored boolean").parquet(f"{store}/chunks").where("stored").select("digest", "n", "ids")
+    chunks = chunk_table(spark, store).where("stored").select("digest", "n", "ids")
 
     def checked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -273,7 +278,7 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, ord, ids (array<int>) of every document, put together from its chunks."""
     recipes = spark.read.parquet(f"{store}/recipes").select("doc_id", "ord", F.explode("chunks").alias("c"))
-    chunks = spark.read.parquet(f"{store}/chunks").where("stored").select(F.col("digest").alias("stored_digest"), "ids")
+    chunks = chunk_table(spark, store).where("stored").select(F.col("digest").alias("stored_digest"), "ids")
     met = recipes.select("doc_id", "ord", "c.seq", "c.n", "c.digest").join(chunks, F.col("digest") == F.col("stored_digest"))
     docs = met.groupBy("doc_id", "ord").agg(F.sort_array(F.collect_list(F.struct("seq", "n", "ids"))).alias("parts"))
 

@@ -120,7 +120,7 @@ def test_store_reads_back_what_was_written(spark, library):
 def test_store_holds_each_chunk_once(spark):
     docs = spark.createDataFrame([(i, "same words here " * 900) for i in range(20)], "doc_id long, text string").repartition(5)
     store = token_store.write_store(docs, tokenizer())
-    chunks = spark.read.parquet(f"{store}/chunks")
+    chunks = token_store.chunk_table(spark, store)
     assert chunks.where("stored").count() == chunks.select("digest").distinct().count()
     assert chunks.where("stored and ids is null").count() == 0
 
@@ -128,9 +128,10 @@ def test_store_holds_each_chunk_once(spark):
 def test_store_notices_damage(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
     store = token_store.write_store(docs, tokenizer())
-    chunks = spark.read.parquet(f"{store}/chunks").toPandas()
+    held = token_store.chunk_table(spark, store)
+    chunks = held.toPandas()
     chunks["ids"] = [None if x is None else bytes(len(x)) for x in chunks["ids"]]
-    spark.createDataFrame(chunks, spark.read.parquet(f"{store}/chunks").schema).write.partitionBy("stored").parquet(f"{store}-bad/chunks")
+    spark.createDataFrame([tuple(r) for r in chunks.astype(object).where(chunks.notna(), None).itertuples(index=False)], held.schema).write.partitionBy("stored").parquet(f"{store}-bad/chunks")
     for part in ("recipes", "manifest"):
         spark.read.parquet(f"{store}/{part}").write.parquet(f"{store}-bad/{part}")
     with pytest.raises(Exception, match="does not hold"):
