@@ -52,7 +52,7 @@ COMMON = 12
 #: Of m retained values that are not common, at least (m - DEEP_FREE) * DEEP_SHARE must be shared, and one.
 DEEP_FREE, DEEP_SHARE = 24, 0.4
 #: Turns of looking for links between labels, and sorted orders of each; a turn without a link ends them.
-TURNS, ORDERS = 1, 12
+TURNS, ORDERS = 6, 12
 #: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
 ESTIMATE = 0.47
 #: At most so many numbers are broadcast to pick the rows to verify; beyond, they are joined.
