@@ -8,21 +8,22 @@ and the rest is decided on the full sets.
 
 A list's pairs are never all written. First each member meets the list's two ends (a
 star); the links found make components, so that a large group of near copies becomes
-one label. Then only members of different labels meet, in lists under few labels. A
-value under more than ``COMMON`` labels is common (a passage or a line that unrelated
-documents share). Documents that list one meet through all their retained values that
-are not common, where a part as large as the threshold implies must be shared; and
-each meets the smallest document of every common value, and its neighbours in sorted
-orders of the sketches. Where documents share little but common text, the smallest is
-the one that all others resemble most: extras only lower a similarity, so two that
-reach the threshold reach it with the smallest too. Up to ``TURNS`` turns follow each
-other while they find links, each with the labels and orders of its own.
-
-Nothing is capped. Two sets at the threshold share each of the smallest values of
-their union with probability 0.75: the lists then miss a pair with a probability of
-about 1e-6, and the estimate drops it with that of more than five sigma. Links
-whose sets share nothing but common values rest on the stars and sorted orders, which
-find the closest partners of a document and not all of them.
+one label. Sets that list a common value (one under more than ``COMMON`` labels: a
+passage or a line that unrelated documents share, or a large group around the
+threshold) then meet the smallest set of each such list, and their neighbours in
+sorted orders of the sketches, in up to ``TURNS`` turns. All this only makes the
+labels fewer: no result rests on it.
+
+A whole pass between the labels left decides. Every retained value counts there,
+however many labels it has: the values are brought into one order, rarest first, and
+two sets meet if they share one of their first values in it, as many as any two must
+agree in that reach the estimate. A link between two labels is found there whatever
+values it rests on, so no further pass can find one.
+
+Nothing is capped, and a pass of many labels with the same frequent values can meet
+as many pairs as they have. Two sets at the threshold share each of the smallest
+values of their union with probability 0.75: the lists then miss a pair with a
+probability of about 1e-6, and the estimate drops it with that of more than five sigma.
 """
 
 from __future__ import annotations
@@ -49,9 +50,7 @@ KEPT, LISTED = 64, 24
 OVERLAP = 7
 #: A value under more labels counts as common.
 COMMON = 12
-#: Of m retained values that are not common, at least (m - DEEP_FREE) * DEEP_SHARE must be shared, and one.
-DEEP_FREE, DEEP_SHARE = 24, 0.4
-#: Turns of looking for links between labels, and sorted orders of each; a turn without a link ends them.
+#: Turns of joining large groups before the whole pass, and sorted orders of each; a turn without a link ends them.
 TURNS, ORDERS = 6, 12
 #: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
 ESTIMATE = 0.47
@@ -224,63 +223,59 @@ def _neighbour_pairs(known: DataFrame, turn: int) -> DataFrame:
     return far.select(*_pair(F.col("me.cid"), F.col("end.cid"))).distinct()
 
 
-def _cross_pairs(entries: DataFrame, lists: DataFrame) -> DataFrame:
-    """a, b: members of different labels, of sizes that fit, whose labels enough lists bring together.
-
-    ``entries``: value, cid, n, label, need; ``lists``: value, label of the lists to use.
-    Labels of a list meet first and are counted; their members meet once, so members of
-    one label never do, and a list adds no pairs of its own.
-    """
-    x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")))
-    labels = met.groupBy(F.col("x.label").alias("p"), F.col("y.label").alias("q")).agg(F.count("*").alias("lists"))
-    members = cut(entries.select("cid", "n", "label", "need").distinct())
-    needs = cut(members.groupBy("label").agg(F.min("need").alias("need")))
-    labels = labels.join(needs.select(F.col("label").alias("p"), F.col("need").alias("x")), "p").join(needs.select(F.col("label").alias("q"), F.col("need").alias("y")), "q")
-    near = labels.where(F.col("lists") >= F.least("x", "y")).select("p", "q")
-    one = members.select(F.col("label").alias("p"), F.col("cid").alias("c"), F.col("n").alias("nc"))
-    two = members.select(F.col("label").alias("q"), F.col("cid").alias("d"), F.col("n").alias("nd"))
-    pairs = near.join(one, "p").join(two, "q").where(_sizes_fit(F.col("nc"), F.col("nd")))
-    return pairs.select(*_pair(F.col("c"), F.col("d"))).distinct()
-
-
-def _labels_by_value(entries: DataFrame) -> DataFrame:
-    """value, label, labels (their number) of the lists under two labels or more."""
-    each = cut(entries.select("value", "label").distinct())
-    many = each.groupBy("value").agg(F.count("*").alias("labels")).where("labels > 1")
-    return cut(each.join(many, "value"))
-
-
 def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
     named = _bounded(labels.withColumnRenamed("node", "cid"))
     return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
-def _second_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Further pairs that lists propose between different labels."""
-    listed = cut(_labelled(listed.select("cid", "n", "value"), labels).withColumn("need", _needed(F.col("n"))))
-    lists = _labels_by_value(listed)
-    rare = lists.where(F.col("labels") <= COMMON).select("value", "label")
-    pairs = _cross_pairs(listed.join(rare.select("value").distinct(), "value", "left_semi"), rare)
+def _spread_lists(entries: DataFrame) -> DataFrame:
+    """value, members of the lists (value, cid, label) under two labels or more."""
+    ends = entries.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+    return ends.where("low < high").select("value", "members")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return cut(connected_components(joined.unionByName(links)))
+
 
-    # Sets with common values: all their retained values, common or not.
-    common = cut(lists.where(F.col("labels") > COMMON).select("value").distinct())
-    touched = cut(listed.join(common, "value", "left_semi").select("cid").distinct())
+def _close_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different labels among the sets with common values that are the likeliest to be linked."""
+    listed = _labelled(listed.select("cid", "n", "value"), labels)
+    many = listed.select("value", "label").distinct().groupBy("value").agg(F.count("*").alias("labels"))
+    frequent = cut(listed.join(many.where(F.col("labels") > COMMON).select("value"), "value"))
+    touched = cut(frequent.select("cid").distinct())
     known = cut(_labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi"), labels))
-    deep = cut(known.select("cid", "n", "label", F.explode("sketch").alias("value")))
-    deep_lists = _labels_by_value(deep)
-    often = cut(deep_lists.where(F.col("labels") > COMMON).select("value").unionByName(common).distinct())
-    frequent = deep.join(_bounded(often), "value", "left_semi")
-    own = deep.groupBy("cid").agg(F.count("*").alias("m"))
-    shared = frequent.groupBy("cid").agg(F.count("*").alias("k"))
-    need = F.greatest(F.lit(1), F.floor((F.col("m") - F.coalesce("k", F.lit(0)) - DEEP_FREE) * DEEP_SHARE)).cast("int")
-    needs = cut(own.join(shared, "cid", "left").select("cid", need.alias("need")))
-    rest = deep_lists.where(F.col("labels") <= COMMON).select("value", "label")
-    own_lists = deep.join(rest.select("value").distinct(), "value", "left_semi").join(_bounded(needs), "cid")
-    pairs = pairs.unionByName(_cross_pairs(cut(own_lists), rest))
-
-    stars = _smallest_pairs(frequent.select("value", "cid", "n", "label"))
-    return pairs.unionByName(stars).unionByName(_neighbour_pairs(known, turn)).distinct()
+    return _smallest_pairs(frequent).unionByName(_neighbour_pairs(known, turn)).distinct()
+
+
+def _must_share(n: Column) -> Column:
+    """Retained values that a set of this size shares with any other that the estimate lets pass."""
+    # a set of up to KEPT * SIMILAR / 100 values meets whole sets only, so the similarity itself decides
+    share = F.when(n * 100 <= KEPT * SIMILAR, n * (SIMILAR / 100)).otherwise(F.least(n, F.lit(KEPT)) * ESTIMATE)
+    return F.ceil(share).cast("int")
+
+
+def _all_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: all pairs of different labels that the lists and the estimate can let pass.
+
+    The retained values are brought into one order, rarest first. Of its s values
+    that other labels have too, a set must share a number t with a partner, so one
+    of the first s - t + 1 is shared with it: only these are met, however many
+    members their lists have.
+    """
+    listed = cut(_labelled(listed.select("cid", "n", "value"), labels))
+    reached = listed.join(_spread_lists(listed).select("value"), "value").groupBy("cid", "n").agg(F.count("*").alias("lists"))
+    least = F.when(F.col("n") * SIMILAR <= LISTED * 100, F.lit(1)).otherwise(F.lit(OVERLAP))
+    some = cut(reached.where(F.col("lists") >= least).select("cid"))
+    held = cut(_labelled(classes.select("cid", "n", F.explode("sketch").alias("value")).join(_bounded(some), "cid", "left_semi"), labels))
+    ranked = held.join(_spread_lists(held), "value").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"))
+    ranked = ranked.withColumn("first", F.size("values") - _must_share(F.col("n")) + 1).where("first > 0")
+    met = cut(ranked.select("cid", "n", "label", F.explode(F.slice("values", F.lit(1), F.col("first"))["value"]).alias("value")))
+    x, y = met.alias("x"), met.alias("y")
+    far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
+    return far.select(*_pair(F.col("x.cid"), F.col("y.cid"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -303,12 +298,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     listed = _shared_lists(classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value")))
     links = _verified(_estimated(_star_pairs(listed), classes), classes, docs, text, doc_id)
     labels = cut(connected_components(links))
-    for turn in range(TURNS):
-        more = _verified(_estimated(_second_pairs(classes, listed, labels, turn), classes), classes, docs, text, doc_id)
-        if more.isEmpty():  # no two labels are linked, as far as the lists tell
+    for turn in range(TURNS):  # large groups come together cheaply; what these turns miss is left to the whole pass
+        more = _verified(_estimated(_close_pairs(classes, listed, labels, turn), classes), classes, docs, text, doc_id)
+        if more.isEmpty():
             break
-        joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = cut(connected_components(joined.unionByName(more)))
+        labels = _joined(labels, more)
+    rest = _verified(_estimated(_all_pairs(classes, listed, labels), classes), classes, docs, text, doc_id)
+    if not rest.isEmpty():
+        labels = _joined(labels, rest)
 
     named = classes.select("cid", "doc_id", "digest").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = cut(named)

@@ -88,6 +88,19 @@ def test_near_duplicates_of_a_large_group_and_a_common_passage(spark):
     assert got == {d: data[c][0] for (d, _), c in zip(data, want, strict=True)}
 
 
+def test_near_duplicates_of_a_large_group_around_the_threshold(spark):
+    """Few of the pairs are linked, and all share values under many labels: each link must be found."""
+    rng = random.Random(1)
+    base, data = prose(rng, 200).split(" "), []
+    for i in range(150):
+        near = list(base)
+        for at in rng.sample(range(200), 4):
+            near[at] = f"v{i}x{at}"
+        data.append((i, " ".join(near)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_components([shingles(t) for _, t in data])))
+
+
 def test_null_ids_and_texts_in_near_duplicates(spark):
     got = near_dedup.near_duplicates(frame(spark, rows()))
     assert got.count() == len(rows())
