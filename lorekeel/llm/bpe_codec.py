@@ -126,7 +126,8 @@ class Codec:
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             owner = np.array([-1 if x is None else x for x in found.word_ids], np.int64)
             counts = np.bincount(owner + 1, minlength=len(some) + 1)
-            if len(counts) == len(some) + 1 and counts[0] == 0 and counts[1:].all():
+            # an equal total proves nothing: a word of other white space only has no pre-token, another word several
+            if len(counts) == len(some) + 1 and counts[0] == 0 and counts[1:].all() and _inside(found.offsets, owner, some):
                 self._store(some, counts[1:], np.array(found.ids, np.int32))  # one pre-token for each word
             else:
                 each = self.tokenizer.encode_batch(some, add_special_tokens=False)
@@ -263,6 +264,14 @@ class Codec:
             width *= 2
 
 
+def _inside(offsets: list[tuple[int, int]], owner: np.ndarray, words: list[str]) -> bool:
+    """Whether each token (start, end) lies in its own word of the words joined by single spaces."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    spans = np.array(offsets, np.int64).reshape(-1, 2)
+    return bool(((begin[owner] <= spans[:, 0]) & (spans[:, 1] <= (begin + sizes)[owner])).all())
+
+
 def _split(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     stops = np.concatenate(([0], np.cumsum(counts))).tolist()
     return [ids[a:b] for a, b in itertools.pairwise(stops)]

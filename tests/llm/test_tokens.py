@@ -43,6 +43,13 @@ def test_cache_starts_anew_without_a_trace(library):
         assert small.encode_all([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_words_without_pre_tokens_do_not_shift_others(library):
+    """Words of white space beyond ASCII have no pre-token; ids must stay with their own words, and later ones too."""
+    codec = bpe_codec.Codec(tokenizer())
+    for t in ("\u00a0 end.", "see \u2028 it's ok", "a \u00a0 \u3000 b. \u0085 c", "cafe\u0301 \u00a0 it's", "\u4e16 end. it's"):
+        assert codec.encode_all([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_other_tokenizers_get_whole_texts():
     path = tokenizer("byte_bpe_50k.json")
     text = "Hello  world\n\n it's 2024 <|endoftext|> ok"
