@@ -30,7 +30,7 @@ BASE = {
 WEAK_KINDS = ("id", "key", "endpoint")
 WEAK = {
     "id": "(?<![A-Za-z0-9_-])((?i:client|access|account|app|user)[_-]?(?i:id|key_id|name)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9_.@-]{6,}|(?=[A-Z]*[0-9])[A-Z]{4}[A-Z0-9]{12,28}(?![A-Za-z0-9_-]))",
-    "key": "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])",
+    "key": "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])",
     "endpoint": "(?i:https?|postgres|mysql|mongodb|redis|amqp|s3)://[^\\x20\\x09-\\x0D\"'<>]+|(?i:host|endpoint|server)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9.-]+\\.[A-Za-z0-9:/.-]+",
 }
 

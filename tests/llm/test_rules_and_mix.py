@@ -176,6 +176,13 @@ def test_secrets_against_brute_force(spark):
     assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_keys_are_linked_too(spark):
+    texts = [f"client_id: builder-77 here and {KEY * n} there" for n in (1, 4, 200)] + [f"only {KEY * 4} alone"]
+    got = secrets.find_secrets(frame(spark, [(i, t, *[None] * 7) for i, t in enumerate(texts)])).collect()
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "key"} for r in got}
+    assert found == {0: {KEY}, 1: {KEY * 4}, 2: {KEY * 200}, 3: set()}
+
+
 def test_redaction_replaces_spans(spark):
     data = secret_docs()
     out = {(r["doc_id"], r["text"]) for r in secrets.redact(frame(spark, data)).collect()}
