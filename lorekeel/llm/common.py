@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,9 @@ def n_words_of(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is
-    made once and set as the checkpoint folder.
+    Where a session on one machine names none (tests), a temporary folder is made
+    once and set as the checkpoint folder; on a cluster that is an error, since the
+    driver's own folders are not the executors'.
     """
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir", None):
@@ -44,10 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeel-"))
     return str(sc.getCheckpointDir()).rstrip("/")
 
 
+class Tables:
+    """Intermediate tables, written as Parquet in a folder of the shared one.
+
+    A written table has no lineage: a lost executor costs the reading tasks only.
+    ``drop`` deletes what a later table has replaced; what a returned frame still
+    reads stays until its caller deletes ``folder``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def put(self, frame: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        frame.write.parquet(path)
+        out = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            delete(self.spark, self.paths[id(frame)][1])
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's file systems find it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the shared folder and cut its lineage there."""
     shared_dir(frame.sparkSession)

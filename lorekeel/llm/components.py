@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,15 +30,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: aggregations and joins only, so a
     node with very many edges is combined before the shuffle and its join is
-    splittable. Every round is written to the shared folder; loops and repeated
-    edges are ignored. The number of rounds grows with the logarithm of the
-    longest path.
+    splittable. Every round is written to the shared folder and replaces the one
+    before; loops and repeated edges are ignored. The number of rounds grows with
+    the logarithm of the longest path.
     """
-    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tables = Tables(edges.sparkSession, "components")
+    now = tables.put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        last, now = now, tables.put(_small_star(_large_star(now)))
+        tables.drop(last)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == stamp:
+        if (seen["n"], seen["h"]) == stamp or not seen["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         stamp = (seen["n"], seen["h"])

@@ -1,60 +1,55 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 One hash function maps a document's five-word shingles to numbers; its sketch is the
-``KEPT`` smallest. Documents with the same set are one class. Inverted lists of the
-``LISTED`` smallest retained values propose pairs of classes, the sketch of the
-union estimates their similarity and drops pairs that lie far below the threshold,
-and the rest is decided on the full sets.
-
-A list's pairs are never all written. First each member meets the list's two ends (a
-star); the links found make components, so that a large group of near copies becomes
-one label. Sets that list a common value (one under more than ``COMMON`` labels: a
-passage or a line that unrelated documents share, or a large group around the
-threshold) then meet the smallest set of each such list, and their neighbours in
-sorted orders of the sketches, in up to ``TURNS`` turns. All this only makes the
-labels fewer: no result rests on it.
-
-A whole pass between the labels left decides. Every retained value counts there,
-however many labels it has: the values are brought into one order, rarest first, and
-two sets meet if they share one of their first values in it, as many as any two must
-agree in that reach the estimate. A link between two labels is found there whatever
-values it rests on, so no further pass can find one.
-
-Nothing is capped, and a pass of many labels with the same frequent values can meet
-as many pairs as they have. Two sets at the threshold share each of the smallest
-values of their union with probability 0.75: the lists then miss a pair with a
-probability of about 1e-6, and the estimate drops it with that of more than five sigma.
+k smallest. Documents with the same set are one class, and two sketch sizes are used:
+
+1. ``KEPT`` values of every class. Inverted lists of the retained values give each
+   class its overlap with all others together: how many of its values any other
+   class has. A class that shares too few for even one partner at the threshold goes.
+2. ``WIDE`` values of the classes left, the whole set for most. Their lists generate
+   the overlaps of pairs, in two steps. First every list proposes its members to its
+   centre, the member with the fewest values of its own: a large group of near copies
+   becomes one label without its pairs being met. Then one whole pass decides: the
+   values that different labels share are brought into one order, rarest first. From
+   the first value that two sets share on, neither has more of them left than its
+   remaining ones, and these must suffice for the overlap that the threshold asks
+   for. Lists are joined under that condition, whatever their length and for all
+   members, so that sets with frequent values meet only where they can be linked.
+
+The sketch of the union then estimates a pair's similarity and drops it if it lies far
+below the threshold; full sets decide the rest. After the pass no link between two
+labels is left, so it is not repeated.
+
+Nothing is capped. For sets of up to ``WIDE`` values the second step is exact. Sampling
+enters twice: the counts of a sketch that is not the whole set, and the estimate, may
+each fall short of what they estimate by ``SIGMAS`` standard deviations before a pair
+at the very threshold is lost, a probability of about 1e-7.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_codec import batches
-from .common import WORD, cut, keep_rows, whole_text
+from .common import WORD, Tables, keep_rows, whole_text
 from .components import connected_components
 
 #: Words of a shingle; similarity (in hundredths) from which two documents are linked.
 WORDS, SIMILAR = 5, 75
-#: Retained values of a sketch, and those of them with inverted lists.
-KEPT, LISTED = 64, 24
-#: Lists that must propose a pair: at the threshold fewer of 24 do so with a probability of about 1e-6.
-OVERLAP = 7
-#: A value under more labels counts as common.
-COMMON = 12
-#: Turns of joining large groups before the whole pass, and sorted orders of each; a turn without a link ends them.
-TURNS, ORDERS = 6, 12
-#: The estimate of a pair must reach this (75 hundredths less 5.2 sigma at KEPT values).
-ESTIMATE = 0.47
-#: At most so many numbers are broadcast to pick the rows to verify; beyond, they are joined.
+#: Retained values of every document's sketch, and of the sketch of those that may have a partner.
+KEPT, WIDE = 64, 512
+#: Standard deviations that a count or an estimate from a sketch may be off.
+SIGMAS = 5.2
+#: At most so many rows of a few numbers are broadcast; beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 
 _words = re.compile(WORD.encode()).findall
@@ -126,156 +121,122 @@ def full_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(whole_text(text).alias("text")).mapInArrow(run, "digest binary, values array<long>")
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
-
-
 def _bounded(frame: DataFrame) -> DataFrame:
-    """A written frame of a few long columns, marked for broadcast where its row count allows it."""
+    """A written frame of a few numbers, marked for broadcast where its row count allows it."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
 
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-
-
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, sure of the pairs whose union sketch lets them pass; sure: the sketches were the full sets."""
-    pairs = cut(pairs)
-    some = classes.join(_bounded(_nodes(pairs)), "cid", "left_semi")
-    left = some.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = some.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    met = pairs.select("a", "b").join(right, "b").join(left, "a")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, KEPT)
-    met = met.withColumn("u", union).withColumn("i", F.array_intersect("sa", "sb"))
-    full = (F.col("na") <= KEPT) & (F.col("nb") <= KEPT)
-    exact = 100 * F.size("i") >= SIMILAR * (F.col("na") + F.col("nb") - F.size("i"))
-    near = F.size(F.array_intersect("u", "i")) >= ESTIMATE * F.size("u")
-    return cut(met.where(F.when(full, exact).otherwise(near)).select("a", "b", full.alias("sure")))
-
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
-def _verified(passed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The links (a, b): pairs that reach the similarity on their full sets."""
-    open_pairs = passed.where("not sure").select("a", "b")
-    chosen = cut(classes.select("cid", "doc_id", "digest").join(_bounded(_nodes(open_pairs)), "cid", "left_semi"))
-    ids = _bounded(cut(chosen.select(F.col("doc_id").alias("pick")).distinct()))
-    rows = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("pick")), "left_semi")
-    sets = cut(full_sets(rows, text).join(_bounded(chosen.select("digest", "cid")), "digest").dropDuplicates(["cid"]).select("cid", "values"))
-    right = open_pairs.join(sets.select(F.col("cid").alias("b"), F.col("values").alias("vb")), "b")
-    both = right.join(sets.select(F.col("cid").alias("a"), F.col("values").alias("va")), "a")
-    shared = F.size(F.array_intersect("va", "vb"))
-    counted = both.select("a", "b", (F.size("va") + F.size("vb")).alias("sum"), shared.alias("shared"))
-    found = counted.where(100 * F.col("shared") >= SIMILAR * (F.col("sum") - F.col("shared"))).select("a", "b")
-    return cut(passed.where("sure").select("a", "b").unionByName(found))
 
+def _slack(kept: int) -> float:
+    """What a count out of ``kept`` sampled values may fall short by."""
+    share = SIMILAR / 100
+    return SIGMAS * math.sqrt(kept * share * (1 - share))
 
-def _needed(n: Column) -> Column:
-    """Lists that must propose a pair with a set of this size."""
-    return F.when(n <= LISTED, F.lit(1)).otherwise(F.lit(OVERLAP))
 
+def _least(n: Column, kept: int) -> Column:
+    """Retained values that a set of n must share with its partner, whichever that is."""
+    exact = F.ceil(n * SIMILAR / 100)
+    # a partner has up to n * 100 / SIMILAR values: its sketch may be a sample where that exceeds kept
+    return F.when(n * 100 <= kept * SIMILAR, exact).otherwise(F.least(exact, F.lit(math.floor(kept * SIMILAR / 100 - _slack(kept)))))
 
-def _overlapping(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, need) that enough lists propose."""
-    seen = pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.min("need").alias("need"))
-    return seen.where(F.col("lists") >= F.col("need")).select("a", "b")
 
+def _least_of_pair(a: Column, b: Column, kept: int) -> Column:
+    """Retained values that sets of a and b values must share: similarity s asks for an overlap of (a + b) s / (1 + s)."""
+    overlap = (a + b) * SIMILAR / (100 + SIMILAR)
+    sampled = overlap * kept / F.greatest(a, b) - _slack(kept)
+    return F.when(F.greatest(a, b) <= kept, overlap).otherwise(sampled) - 1e-6
 
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
+def _survivors(classes: DataFrame, tables: Tables) -> DataFrame:
+    """cid of the classes that share enough of their sketch with others for a partner to be possible."""
+    held = classes.select("cid", "n", F.explode("sketch").alias("value"))
+    shared = tables.put(held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"))
+    met = held.join(_bounded(shared), "value", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("shared"))
+    out = tables.put(met.where(F.col("shared") >= _least(F.col("n"), KEPT)).select("cid"))
+    tables.drop(shared)
+    return out
 
-def _shared_lists(entries: DataFrame) -> DataFrame:
-    """The entries (value, cid, n) of lists with two members or more, with the ends of their list."""
-    ends = entries.groupBy("value").agg(
-        F.min("cid").alias("low"), F.min_by("n", "cid").alias("low_n"), F.max("cid").alias("high"), F.max_by("n", "cid").alias("high_n")
-    )
-    return cut(entries.join(ends.where("low < high"), "value"))
 
+def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, tables: Tables) -> DataFrame:
+    """cid, n, sketch, values (the full set) of the classes named, from the texts of their first rows."""
+    chosen = tables.put(classes.select("cid", "doc_id", "digest").join(_bounded(cids), "cid", "left_semi"))
+    ids = tables.put(chosen.select(F.col("doc_id").alias("pick")).distinct())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).join(_bounded(ids), F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi")
+    found = full_sets(rows).join(_bounded(chosen.select("digest", "cid")), "digest")
+    out = tables.put(found.select("cid", F.monotonically_increasing_id().alias("mark"), F.size("values").cast("long").alias("n"), F.slice("values", 1, KEPT).alias("sketch"), "values"))
+    if out.count() > chosen.count():  # repeated rows
+        firsts = tables.put(out.groupBy("cid").agg(F.min("mark").alias("mark")).select("mark"))
+        out = out.join(_bounded(firsts), "mark", "left_semi")
+    return out.drop("mark")
 
-def _star_pairs(listed: DataFrame) -> DataFrame:
-    """Each member of a list with the list's two ends."""
-    ends = F.array(F.struct(F.col("low").alias("cid"), F.col("low_n").alias("n")), F.struct(F.col("high").alias("cid"), F.col("high_n").alias("n")))
-    met = listed.select("cid", "n", F.explode(ends).alias("end")).where((F.col("cid") != F.col("end.cid")) & _sizes_fit(F.col("n"), F.col("end.n")))
-    return _overlapping(met.select(*_pair(F.col("cid"), F.col("end.cid")), _needed(F.least("n", "end.n")).alias("need")))
 
+def _ranked(sets: DataFrame) -> DataFrame:
+    """cid, n, values: the retained values that other classes have too, rarest first, with their numbers of members."""
+    held = sets.select("cid", "n", F.explode(F.slice("values", 1, WIDE)).alias("value"))
+    shared = held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    met = held.join(shared, "value").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"))
+    return met.where(F.size("values") >= _least(F.col("n"), WIDE))
 
-def _smallest_pairs(entries: DataFrame) -> DataFrame:
-    """Each member of a list (value, cid, n, label) with the smallest set in it, where labels differ."""
-    ends = entries.groupBy("value").agg(F.min(F.struct("n", "cid", "label")).alias("end"))
-    far = entries.join(ends, "value").where((F.col("label") != F.col("end.label")) & _sizes_fit(F.col("n"), F.col("end.n")))
-    return far.select(*_pair(F.col("cid"), F.col("end.cid"))).distinct()
 
+def _star_pairs(ranked: DataFrame) -> DataFrame:
+    """a, b, na, nb, lists: members with the centres of their lists, and how many lists propose them."""
+    kept = F.least("n", F.lit(WIDE))
+    held = ranked.select("cid", "n", ((kept - F.size("values")) / kept).alias("own"), F.explode("values.value").alias("value"))
+    centres = held.groupBy("value").agg(F.min(F.struct("own", "cid", "n")).alias("c"))
+    met = held.join(centres, "value").where((F.col("cid") != F.col("c.cid")) & _sizes_fit(F.col("n"), F.col("c.n")))
+    return met.groupBy(F.col("cid").alias("a"), F.col("c.cid").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb")).agg(F.count("*").alias("lists"))
 
-def _neighbour_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Each set (cid, n, label, sketch) with its neighbours in ORDERS sorted orders, where labels differ.
 
-    An order sorts the sketches by their values under a hash of its own, smallest first;
-    sets next to each other share the longest run of smallest values, so they are the
-    likeliest of a large group to be linked.
-    """
-    kinds = F.explode(F.sequence(F.lit(turn * ORDERS), F.lit(turn * ORDERS + ORDERS - 1)))
-    keyed = known.select("cid", "n", "label", kinds.alias("order"), "sketch")
-    keyed = keyed.withColumn("key", F.slice(F.sort_array(F.transform("sketch", lambda v: F.xxhash64(v, F.col("order")))), 1, 8)).drop("sketch")
-    at = Window.partitionBy("order", F.get("key", F.lit(0))).orderBy("key", "cid")
-    me = F.struct("cid", "n", "label")
-    seen = keyed.select(me.alias("me"), F.lag(me).over(at).alias("end"))
-    far = seen.where((F.col("me.label") != F.col("end.label")) & _sizes_fit(F.col("me.n"), F.col("end.n")))
-    return far.select(*_pair(F.col("me.cid"), F.col("end.cid"))).distinct()
+def _star_links(ranked: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """Links between list members and centres: those the lists themselves prove, and of the others each member's best one."""
+    pairs = tables.put(_star_pairs(ranked))
+    whole = (F.greatest("na", "nb") <= WIDE) & (F.col("lists") * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
+    proven = tables.put(pairs.where(whole).select("a", "b"))
+    best = pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b")
+    links = _verified(best, sets, tables)
+    return proven.unionByName(links)
 
 
-def _labelled(frame: DataFrame, labels: DataFrame) -> DataFrame:
+def _whole_pass(ranked: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
+    """a, b: the pairs of different labels that can reach the overlap from their first shared value on."""
     named = _bounded(labels.withColumnRenamed("node", "cid"))
-    return frame.join(named, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-
-
-def _spread_lists(entries: DataFrame) -> DataFrame:
-    """value, members of the lists (value, cid, label) under two labels or more."""
-    ends = entries.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    return ends.where("low < high").select("value", "members")
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after further links."""
-    joined = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return cut(connected_components(joined.unionByName(links)))
-
-
-def _close_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different labels among the sets with common values that are the likeliest to be linked."""
-    listed = _labelled(listed.select("cid", "n", "value"), labels)
-    many = listed.select("value", "label").distinct().groupBy("value").agg(F.count("*").alias("labels"))
-    frequent = cut(listed.join(many.where(F.col("labels") > COMMON).select("value"), "value"))
-    touched = cut(frequent.select("cid").distinct())
-    known = cut(_labelled(classes.select("cid", "n", "sketch").join(_bounded(touched), "cid", "left_semi"), labels))
-    return _smallest_pairs(frequent).unionByName(_neighbour_pairs(known, turn)).distinct()
-
-
-def _must_share(n: Column) -> Column:
-    """Retained values that a set of this size shares with any other that the estimate lets pass."""
-    # a set of up to KEPT * SIMILAR / 100 values meets whole sets only, so the similarity itself decides
-    share = F.when(n * 100 <= KEPT * SIMILAR, n * (SIMILAR / 100)).otherwise(F.least(n, F.lit(KEPT)) * ESTIMATE)
-    return F.ceil(share).cast("int")
-
-
-def _all_pairs(classes: DataFrame, listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b: all pairs of different labels that the lists and the estimate can let pass.
-
-    The retained values are brought into one order, rarest first. Of its s values
-    that other labels have too, a set must share a number t with a partner, so one
-    of the first s - t + 1 is shared with it: only these are met, however many
-    members their lists have.
-    """
-    listed = cut(_labelled(listed.select("cid", "n", "value"), labels))
-    reached = listed.join(_spread_lists(listed).select("value"), "value").groupBy("cid", "n").agg(F.count("*").alias("lists"))
-    least = F.when(F.col("n") * SIMILAR <= LISTED * 100, F.lit(1)).otherwise(F.lit(OVERLAP))
-    some = cut(reached.where(F.col("lists") >= least).select("cid"))
-    held = cut(_labelled(classes.select("cid", "n", F.explode("sketch").alias("value")).join(_bounded(some), "cid", "left_semi"), labels))
-    ranked = held.join(_spread_lists(held), "value").groupBy("cid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("members", "value"))).alias("values"))
-    ranked = ranked.withColumn("first", F.size("values") - _must_share(F.col("n")) + 1).where("first > 0")
-    met = cut(ranked.select("cid", "n", "label", F.explode(F.slice("values", F.lit(1), F.col("first"))["value"]).alias("value")))
-    x, y = met.alias("x"), met.alias("y")
-    far = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")))
-    return far.select(*_pair(F.col("x.cid"), F.col("y.cid"))).distinct()
+    held = ranked.join(named, "cid", "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), F.explode("values").alias("at"))
+    held = held.select("cid", "n", "label", "at.members", "at.value")
+    spread = held.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("smallest"))
+    spread = tables.put(spread.where("low < high").select("value", "smallest"))
+    met = held.join(_bounded(spread), "value")
+    lists = met.groupBy("cid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("members", "value", "smallest"))).alias("values"))
+    at = lists.select("cid", "n", "label", F.size("values").alias("all"), F.posexplode("values").alias("pos", "at"))
+    at = at.select("cid", "n", "label", (F.col("all") - F.col("pos")).alias("left"), "at.value", "at.smallest")
+    n, least = F.col("n"), _least(F.col("n"), WIDE)
+    useful = F.when(n * 100 <= WIDE * SIMILAR, F.col("left") >= _least_of_pair(n, F.col("smallest"), WIDE)).otherwise(True)
+    entries = tables.put(at.where((F.col("left") >= least) & useful).drop("smallest"))
+    x, y = entries.alias("x"), entries.alias("y")
+    enough = F.least("x.left", "y.left") >= _least_of_pair(F.col("x.n"), F.col("y.n"), WIDE)
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough)
+    out = tables.put(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    tables.drop(spread, entries)
+    return out
+
+
+def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """a, b, na, nb, va, vb: pairs with a column of both their sets."""
+    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("vb")), "b")
+    return right.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col(column).alias("va")), "a")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """The links (a, b): pairs that the union's sketch lets pass and that reach the similarity on their full sets."""
+    shared = F.array_intersect("va", "vb")
+    union = F.slice(F.sort_array(F.array_union("va", "vb")), 1, KEPT)
+    size = F.least(F.size("union"), F.lit(KEPT))
+    near = F.size(F.array_intersect("union", "shared")) >= size * SIMILAR / 100 - F.when((F.col("na") <= KEPT) & (F.col("nb") <= KEPT), 1e-6).otherwise(_slack(KEPT))
+    passed = tables.put(_met(pairs, sets, "sketch").select("a", "b", "na", "nb", union.alias("union"), shared.alias("shared")).where(near).select("a", "b"))
+    counted = _met(passed, sets, "values").select("a", "b", "na", "nb", F.size(shared).alias("shared"))
+    return tables.put(counted.where(100 * F.col("shared") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -287,32 +248,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     and are linked with nothing: each is a component of its own. component_id is
     the smallest doc_id of the component (null only if all its doc_ids are); repeated
     rows are in one class, and exactly one row of a component is kept: the first of
-    those with the smallest doc_id. An empty table gives an empty result.
+    those with the smallest doc_id. An empty table gives an empty result. Other
+    columns are not read.
     """
-    rows = cut(sketches(docs, text, doc_id))
+    tables = Tables(docs.sparkSession, "near")
+    rows = tables.put(sketches(docs, text, doc_id))
     some = rows.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("ord"))).alias("best")
     heads = some.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut(heads.select(F.col("best.ord").alias("cid"), F.col("best.doc_id").alias("doc_id"), "digest", "n", "sketch"))
-
-    listed = _shared_lists(classes.select("cid", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("value")))
-    links = _verified(_estimated(_star_pairs(listed), classes), classes, docs, text, doc_id)
-    labels = cut(connected_components(links))
-    for turn in range(TURNS):  # large groups come together cheaply; what these turns miss is left to the whole pass
-        more = _verified(_estimated(_close_pairs(classes, listed, labels, turn), classes), classes, docs, text, doc_id)
-        if more.isEmpty():
-            break
-        labels = _joined(labels, more)
-    rest = _verified(_estimated(_all_pairs(classes, listed, labels), classes), classes, docs, text, doc_id)
-    if not rest.isEmpty():
-        labels = _joined(labels, rest)
-
-    named = classes.select("cid", "doc_id", "digest").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = cut(named)
+    classes = tables.put(heads.select(F.col("best.ord").alias("cid"), F.col("best.doc_id").alias("doc_id"), "digest", "n", "sketch"))
+
+    sets = _sets_of(_survivors(classes, tables), classes, docs, text, doc_id, tables)
+    ranked = tables.put(_ranked(sets))
+    stars = _star_links(ranked, sets, tables)
+    labels = connected_components(stars)
+    rest = _verified(_whole_pass(ranked, labels, tables), sets, tables)
+    labels = connected_components(labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(rest))
+    tables.drop(ranked)
+
+    # components of one class have no label; classes of larger ones are few columns wide
+    named = classes.select("cid", "doc_id", "digest").join(labels.withColumnRenamed("node", "cid"), "cid")
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("cid").alias("ord"))).alias("best"))
-    found = cut(named.join(best, "label").select("digest", "best"))
+    linked = named.join(best, "label").select("digest", "best.doc_id", "best.ord")
+    single = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left_anti").select("digest", "doc_id", F.col("cid").alias("ord"))
+    found = tables.put(linked.unionByName(single).select("digest", F.col("doc_id").alias("component_id"), F.col("ord").alias("kept_ord")))
+    tables.drop(classes)
     members = some.select("doc_id", "ord", "n", "text_sha256", "digest").join(found, "digest").select(
-        "doc_id", "ord", "text_sha256", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.col("ord") == F.col("best.ord")).alias("kept")
+        "doc_id", "ord", "text_sha256", F.col("n").alias("n_shingles"), "component_id", (F.col("ord") == F.col("kept_ord")).alias("kept")
     )
     alone = rows.where("n = 0").select("doc_id", "ord", "text_sha256", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return members.unionByName(alone)
