@@ -13,12 +13,13 @@ bucket), so a source with a third of all rows is spread over all tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words_of, whole_text
+from .common import Tables, n_words_of, whole_text
 
 #: No document is taken more often.
 MOST_PASSES = 3
@@ -26,8 +27,12 @@ MOST_PASSES = 3
 WEIGHTS = (1, 2, 3)
 #: Knots (time, weight) of the schedule of each weight class: steady, rising, falling.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
-#: Hash ranges of one source.
-BUCKET_BITS = 12
+#: Bits of a document's place in its source's order; of these, at least so many name its bucket, and more where a bucket would have more rows.
+KEY_BITS, BUCKET_BITS, BUCKET_ROWS = 63, 12, 4096
+#: A source is filled up to this share of its target, as far as documents fit.
+TOLERANCE = 0.001
+#: At most so many sources are broadcast; beyond, rows are joined with them.
+BROADCAST_SOURCES = 100_000
 
 
 def invert_schedule(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -79,34 +84,95 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: i
 
 
 def _order_key(doc_id: Column, text: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id, text)
-
-
-def assign_positions(
-    rows: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    schedules: Sequence = SCHEDULES,
-    most: int = MOST_PASSES,
-    bucket_bits: int = BUCKET_BITS,
-    totals: DataFrame | None = None,
-) -> DataFrame:
-    """``rows`` (box, id, source, size, key) with source_size, target, passes, start.
-
-    ``key`` orders a source. Whole passes over a source come first; of what then
-    is missing, the documents whose middle lies within it are taken once more, so
-    a source's taken words differ from its target by half a document at most.
-    ``totals`` are narrow rows (source, size, key) where ``rows`` carries texts.
+    return F.xxhash64(F.lit(seed), doc_id, text).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def _bucket_bits(narrow: DataFrame) -> int:
+    """Bits of a key that name its bucket, so that one of the largest source has about BUCKET_ROWS rows."""
+    most = narrow.groupBy("source").count().agg(F.max("count")).first()[0] or 1
+    return max(BUCKET_BITS, math.ceil(math.log2(most / BUCKET_ROWS)))
+
+
+def _with_source(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """Rows (source, ...) with the columns of the row of ``each`` for their source, null being one."""
+    named = each.withColumnRenamed("source", "of")
+    named = F.broadcast(named) if each.count() <= BROADCAST_SOURCES else named
+    return rows.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _taken_in_walks() -> Column:
+    return F.exists("walks", lambda w: (F.col("size") <= w["gap"]) & (F.col("key") <= w["upto"]))
+
+
+def _walk(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
+    """``state`` (source, ..., gap, filled, walks) after one more walk in key order over the documents that fit."""
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~_taken_in_walks()
+    bucket = F.shiftright("key", KEY_BITS - bits)
+    fitting = _with_source(narrow, state.select("source", "gap", "walks")).where(fits).select("source", "size", "key", "gap", bucket.alias("bucket"))
+    sums = fitting.groupBy("source", "bucket", "gap").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+    # the bucket in which the gap is reached, at most one for a source
+    cross = placed.where((F.col("offset") <= F.col("gap")) & (F.col("gap") < F.col("offset") + F.col("sum"))).select("source", "bucket", "offset")
+    inside = fitting.join(F.broadcast(cross.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "offset")), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    # a range frame: rows of one key are taken together
+    upto = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
+    run = inside.select("source", "key", "gap", (F.col("offset") + F.sum("size").over(upto)).alias("end"))
+    some = run.where(F.col("end") <= F.col("gap")).groupBy(F.col("source").alias("s1")).agg(F.max("key").alias("last"), F.max("end").alias("end"))
+    ends = cross.select(F.col("source").alias("s2"), F.shiftleft("bucket", KEY_BITS - bits).alias("begin"), "offset")
+    sums = sums.groupBy(F.col("source").alias("s3")).agg(F.sum("sum").alias("all"))
+    met = (
+        state.join(some, F.col("source").eqNullSafe(F.col("s1")), "left")
+        .join(ends, F.col("source").eqNullSafe(F.col("s2")), "left")
+        .join(sums, F.col("source").eqNullSafe(F.col("s3")), "left")
+    )
+    filled = F.coalesce("end", "offset", "all", F.lit(0))
+    last = F.coalesce("last", F.col("begin") - 1, F.lit((1 << KEY_BITS) - 1))
+    walk = F.struct(F.col("gap").alias("gap"), last.cast("long").alias("upto"))
+    fixed = [c for c in state.columns if c not in ("gap", "filled", "walks")]
+    return met.select(*fixed, (F.col("gap") - filled).cast("long").alias("gap"), filled.cast("long").alias("filled"), F.concat("walks", F.array(walk)).alias("walks"))
+
+
+def source_plan(narrow: DataFrame, weights: Sequence[float], most: int, bits: int, tables: Tables) -> DataFrame:
+    """(source, source_size, rank, target, whole, walks, gap, nearest): what is taken of each source.
+
+    ``whole`` passes are taken by every document. What then is missing is filled in
+    walks over the source in key order: a walk takes the documents that are no longer
+    than the gap, from the first on, until the next one would exceed it; what is left
+    is the next walk's gap. A walk is told by two numbers, its gap and its last key.
+    Walks go on until every gap is below TOLERANCE of its target or no document fits;
+    then the shortest document not taken comes in (``nearest``) if that brings the
+    source closer to its target.
     """
-    narrow = rows if totals is None else totals
-    bucket = F.shiftrightunsigned("key", 64 - bucket_bits)
+    targets = source_targets(narrow, weights, most)
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(1)).cast("int")
+    gap = F.when(F.col("source_size") > 0, F.floor(F.col("target") - F.col("whole") * F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    state = tables.put(
+        targets.withColumn("whole", whole).select("*", gap.alias("gap"), F.lit(1).cast("long").alias("filled"), F.array().cast("array<struct<gap:long,upto:long>>").alias("walks"))
+    )
+    while not state.where((F.col("filled") > 0) & (F.col("gap") > F.col("target") * TOLERANCE)).isEmpty():
+        state, last = tables.put(_walk(narrow, state, bits)), state
+        tables.drop(last)
+    left = _with_source(narrow, state.select("source", "gap", "walks", "whole")).where((F.col("size") > 0) & (F.col("gap") > 0) & (F.col("whole") < most) & ~_taken_in_walks())
+    # rows of one key come in together, so their words count together
+    least = left.groupBy("source", "gap", "key").agg(F.sum("size").alias("words")).groupBy(F.col("source").alias("of"), "gap").agg(F.min(F.struct("words", "key")).alias("x"))
+    least = least.select("of", F.when(F.col("x.words") < 2 * F.col("gap"), F.col("x.key")).alias("nearest"))
+    return tables.put(state.join(least, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "filled"))
+
+
+def assign_positions(rows: DataFrame, narrow: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_PASSES, bucket_bits: int | None = None) -> DataFrame:
+    """``rows`` (box, id, source, size, key) with source_size, rank, target, passes, start.
+
+    ``narrow`` are the rows (source, size, key) as a written table, ``key`` orders a
+    source. ``start`` is the number of the source's words before the row in that order.
+    """
+    tables = Tables(rows.sparkSession, "mixing")
+    bits = bucket_bits or _bucket_bits(narrow)
+    plan = source_plan(narrow, weights, most, bits, tables)
+    bucket = F.shiftright("key", KEY_BITS - bits)
     sums = narrow.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    sums = cut(sums)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(
-        sums.select("source", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
-        .join(source_targets(sums, weights, most).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-        .select(F.xxhash64(F.col("source").isNull(), "source", "bucket").alias("cell"), "source", "bucket", "offset", "source_size", "rank", "target")
-    )
+    starts = tables.put(sums.select("source", "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"), F.xxhash64(F.col("source").isNull(), "source", "bucket").alias("cell")))
     here = rows.withColumn("bucket", bucket).withColumn("cell", F.xxhash64(F.col("source").isNull(), "source", "bucket"))
     met = here.alias("row").join(
         starts.alias("at"),
@@ -114,15 +180,10 @@ def assign_positions(
     )
     within = Window.partitionBy("row.cell", "row.bucket", "row.source").orderBy("row.key", "row.id", "row.size").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("at.offset") + F.sum("row.size").over(within) - F.col("row.size")
-    placed = met.select(
-        *[F.col(f"row.{c}").alias(c) for c in rows.columns],
-        *[F.col(f"at.{c}").alias(c) for c in ("source_size", "rank", "target")],
-        start.alias("start"),
-    )
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(F.lit(1))
-    missing = F.col("target") - whole * F.col("source_size")
-    once_more = (F.col("start") + F.col("size") / 2 <= missing) & (whole < most)
-    return placed.withColumn("passes", (whole + F.when(once_more & (F.col("source_size") > 0), 1).otherwise(0)).cast("int"))
+    placed = _with_source(met.select(*[F.col(f"row.{c}").alias(c) for c in rows.columns], start.alias("start")), plan)
+    more = (_taken_in_walks() | F.coalesce(F.col("key") == F.col("nearest"), F.lit(False))) & (F.col("size") > 0) & (F.col("whole") < most)
+    out = placed.withColumn("passes", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int"))
+    return out.select(*rows.columns, "source_size", "rank", "target", "start", "passes")
 
 
 def position(number: Column, schedules: Sequence = SCHEDULES) -> Column:
@@ -152,12 +213,13 @@ def mixing_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
 
     size is the number of words (null text: 0), taken = passes * size. position is
     that of the first pass (null when not taken); rows come range-sorted by it. A
-    null source is a source of its own, ranked last. Documents of a source without
-    words pass once (they take nothing). Repeated rows are interchangeable; other
-    columns are not read. An empty table gives an empty result.
+    null source is a source of its own, ranked last; null doc_ids are ids like others.
+    Documents of a source without words pass once (they take nothing). Repeated rows
+    are taken alike; other columns are not read. An empty table gives an empty result.
     """
-    rows = cut(_keyed(docs, F.lit(True), text, doc_id, source, seed))
-    out = assign_positions(rows)
+    tables = Tables(docs.sparkSession, "mixing-rows")
+    rows = tables.put(_keyed(docs, F.lit(True), text, doc_id, source, seed))
+    out = assign_positions(rows, rows.select("source", "size", "key"))
     return out.select(
         F.col("id").alias("doc_id"),
         "size",
@@ -171,10 +233,15 @@ def mixing_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` in training order: each once for each pass, columns as they were."""
+    """The rows of ``docs`` in training order: each once for each pass, columns as they were.
+
+    Nulls, repeated rows and empty tables are treated as in mixing_plan. A pass that
+    only fills a gap at its source's end has the last position.
+    """
     names = docs.columns
-    totals = cut(_keyed(docs, F.lit(True), text, doc_id, source, seed).select("source", "size", "key"))
+    tables = Tables(docs.sparkSession, "mixing-rows")
+    narrow = tables.put(_keyed(docs, F.lit(True), text, doc_id, source, seed).select("source", "size", "key"))
     rows = _keyed(docs, F.struct(*[F.col(f"`{n}`") for n in names]), text, doc_id, source, seed)
-    out = assign_positions(rows, totals=totals)
+    out = assign_positions(rows, narrow)
     copies = out.where("passes > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     return copies.withColumn("position", position(F.col("turn"))).orderBy("position", "id", "turn").select("box.*")
