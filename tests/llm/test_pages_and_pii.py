@@ -5,6 +5,7 @@ import re
 import numpy as np
 
 from lorekeel.llm import boosting, html_extract, pii
+from lorekeel.llm.common import Tables
 
 from .helpers import DOCS, prose, rows
 
@@ -122,9 +123,81 @@ def test_repeated_blocks_of_a_host_go_and_unique_runs_stay(spark):
     assert all(got[i]["text"] == unique[i] for i in range(30))
 
 
+def brute_texts(data):
+    """Texts of pages by comparing every substring of every length with all pages of the host."""
+    least, need = html_extract.LEAST, html_extract.PAGES
+    cut = [html_extract.page_blocks(r[2] or "") for r in data]
+    lines = [[x.split(" ") for x in html_extract.outside_stream(b).split("\n")] for b in cut]
+    distinct = {r[2]: i for i, r in enumerate(data)}
+    on = {}
+    for i in distinct.values():
+        for words in lines[i]:
+            for a in range(len(words)):
+                for b in range(a + least, len(words) + 1):
+                    on.setdefault(tuple(words[a:b]), set()).add(i)
+    texts = []
+    for blocks, own in zip(cut, lines, strict=True):
+        gone, at = set(), 0
+        for words in own:
+            for a in range(len(words)):
+                for b in range(a + least, len(words) + 1):
+                    if len(on.get(tuple(words[a:b]), ())) >= need:
+                        gone.update(range(at + a, at + b))
+            at += len(words)
+        out, at = [], 0
+        for state, text in blocks:
+            words = text.split(" ")
+            if state == "kept":
+                out += words
+                continue
+            if state == "open":
+                marks = "".join("x" if at + k in gone else "." for k in range(len(words)))
+                long = {k for m in re.finditer("x+", marks) if len(m[0]) >= min(least, len(words)) for k in range(*m.span())}
+                out += [w for k, w in enumerate(words) if k not in long]
+            at += len(words)
+        texts.append(" ".join(out))
+    return texts
+
+
+def test_whole_result_against_brute_force_on_a_host_without_articles(spark, monkeypatch):
+    """Menus of one-word blocks, mixed blocks, repeats across block borders, page copies, and teasers beside articles."""
+    rng = random.Random(21)
+    menu = "".join(f"<li>{w}</li>" for w in ("Home", "News", "Sport", "Money", "Travel", "Food", "Maps", "About", "Help"))
+    notice = "we keep small files to remember what you have read on these pages"
+    teaser = f"<article class='card'>{prose(rng, 14)}</article>"
+    data = []
+    for i in range(40):
+        body = prose(rng, rng.randint(5, 30))
+        kind = i % 4
+        if kind == 0:
+            data.append(page(i, f"<body><ul>{menu}</ul><div>{body} {notice} {prose(rng, 6)}</div></body>"))
+        elif kind == 1:
+            data.append(page(i, f"<body><p>{body}</p><p>we keep small files to</p><p>remember what you have read on these pages</p>{teaser}</body>"))
+        elif kind == 2:
+            data.append(page(i, f"<body><article><p>{body} {notice} {prose(rng, 30)}</p></article><div>{notice}</div>{teaser}</body>"))
+        else:
+            data.append(page(i, f"<body><main><p>{prose(rng, 40)}</p><article>{prose(rng, 9)}</article></main><ul>{menu}</ul></body>"))
+    data += [data[0][:1] + ("https://a.example/copy",) + data[0][2:]] * 5
+    for shard in (1000, 3):
+        monkeypatch.setattr(html_extract.boilerplate_windows, "__defaults__", (shard,))
+        got = sorted((r["page_id"], r["url"], r["text"]) for r in html_extract.extract_pages(spark.createDataFrame(data, PAGES)).collect())
+        assert got == sorted((r[0], r[1], t) for r, t in zip(data, brute_texts(data), strict=True))
+    texts = {r[0]: r[2] for r in got}
+    assert not any("Travel" in t for t in texts.values()) and not any(notice in texts[i] for i in range(40) if i % 4 != 2)
+    assert all(notice in texts[i] for i in range(40) if i % 4 == 2)
+
+
+def test_a_teaser_article_does_not_displace_the_story(spark):
+    rng = random.Random(22)
+    story = prose(rng, 120)
+    got = html_extract.extract_pages(spark.createDataFrame([page(1, f"<body><main><p>{story}</p><article class='card'>Read more</article></main></body>")], PAGES)).first()
+    assert got["text"].startswith(story)
+
+
 def test_windows_do_not_depend_on_shards(spark):
     rng = random.Random(13)
-    texts = [[prose(rng, 5), rng.choice(("a b c d e f g h", "q w e r t z u i"))] for _ in range(60)]
-    outside = spark.createDataFrame([("h", hashlib.md5(str(i).encode()).digest(), True, t) for i, t in enumerate(texts)], "host string, key binary, open boolean, blocks array<string>")
-    whole = {bytes(r["window"]) for r in html_extract.boilerplate_windows(outside, 1000).collect()}
-    assert whole and whole == {bytes(r["window"]) for r in html_extract.boilerplate_windows(outside, 7).collect()}
+    texts = [f"{prose(rng, 5)} {rng.choice(('a b c d e f g h', 'q w e r t z u i'))}" for _ in range(60)]
+    streams = spark.createDataFrame([("h", hashlib.md5(str(i).encode()).digest(), t) for i, t in enumerate(texts)], "host string, html_md5 binary, stream string")
+    tables = Tables(spark, "test")
+    whole = {r["window"] for r in html_extract.boilerplate_windows(streams, tables, 1000).collect()}
+    assert whole and whole == {r["window"] for r in html_extract.boilerplate_windows(streams, tables, 7).collect()}
