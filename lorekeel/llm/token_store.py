@@ -4,11 +4,17 @@ A rolling hash cuts each document's ids into chunks by content, so equal passage
 make equal chunks wherever they stand. A chunk's address is the SHA-256 of its ids;
 its bytes are stored once. A document is a recipe (the addresses in order, with
 their places) under a Merkle root, and the recipes lie in ascending doc_id order in
-numbered parts with a manifest row each (documents, ids, Merkle root).
+numbered parts with a manifest row each.
 
     chunks/    stored=true: digest, n, ids (binary); stored=false: where chunks occur
-    recipes/   part, doc_id, ord, local_start, n_tokens, root, chunks
-    manifest/  part, docs, tokens, start, root
+    recipes/   part, pos, local_start, doc_id, ord, n_tokens, root, chunks
+    manifest/  part, docs, tokens, start, root, top
+
+Everything hangs on ``top``: it is the root of a Merkle tree over the manifest's rows, a
+row's ``root`` is that of a tree over its part's recipes in order (in blocks of BLOCK
+leaves, so that no task needs a whole part), a recipe's leaf covers its place, its
+doc_id, its number of ids and its document's root, and that is the root of a tree over
+the chunks' addresses and places. Reading proves all of it.
 
 Ids of one chunk are little-endian unsigned 16-bit integers where all fit, else
 32-bit; ``n`` tells which. All folders lie in the shared checkpoint folder.
@@ -38,6 +44,8 @@ CUT_BITS = 9
 SPAN = 16
 #: A chunk ends after so many ids at the latest.
 LONGEST = 4096
+#: Recipes in a block of a part's Merkle tree.
+BLOCK = 1024
 #: Addresses that a task remembers to send a chunk's bytes once.
 SENT = 50_000
 
@@ -92,6 +100,10 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def chunk_leaf(at: int, n: int, digest: bytes) -> bytes:
+    return hashlib.sha256(b"\x00%d:%d:" % (at, n) + digest).digest()
+
+
 def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) -> DataFrame:
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("ord"), whole_text(text).alias("text"))
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
@@ -107,7 +119,7 @@ def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) ->
                         body = packed(ids[begin:end])
                         chunks.append((begin, end - begin, hashlib.sha256(body).digest(), body))
                         begin = end
-                    root = merkle_root([c[2] for c in chunks])
+                    root = merkle_root([chunk_leaf(at, n, digest) for at, n, digest, _ in chunks])
                     for seq, (at, n, digest, body) in enumerate(chunks):
                         if new := digest not in sent:
                             sent[digest] = None
@@ -128,8 +140,8 @@ def write_store(docs: DataFrame, path: str, store: str | None = None, text: str
 
     Null texts are empty (only the end id). Documents lie in ascending doc_id
     order, nulls last; rows that tie on it (repeated rows) follow in input order,
-    each with its own recipe. Other columns are not read. An empty table gives an
-    empty store.
+    each with its own recipe. doc_id is cast to long. Other columns are not read. An
+    empty table gives an empty store.
     """
     spark = docs.sparkSession
     store = store or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
@@ -138,13 +150,13 @@ def write_store(docs: DataFrame, path: str, store: str | None = None, text: str
     placed.withColumn("ids", F.when(F.col("stored"), F.col("ids"))).drop("slot").write.partitionBy("stored").option("compression", "zstd").parquet(f"{store}/chunks")
 
     def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part_id = 0, TaskContext.get().partitionId()
+        at, pos, part_id = 0, 0, TaskContext.get().partitionId()
         for part in parts:
             n = part.column(part.schema.get_field_index("n_tokens")).to_numpy()
             ends = at + np.cumsum(n)
-            columns = [pa.array(np.full(len(n), part_id), pa.int64()), pa.array(ends - n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *part.columns], ["part", "local_start", *part.schema.names])
-            at = int(ends[-1]) if len(ends) else at
+            columns = [pa.array(np.full(len(n), part_id), pa.int64()), pa.array(np.arange(pos, pos + len(n)), pa.int64()), pa.array(ends - n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *part.columns], ["part", "pos", "local_start", *part.schema.names])
+            at, pos = int(ends[-1]) if len(ends) else at, pos + len(n)
 
     seen = chunk_table(spark, store)
     recipes = seen.groupBy("ord", "doc_id").agg(
@@ -153,41 +165,67 @@ def write_store(docs: DataFrame, path: str, store: str | None = None, text: str
         F.sort_array(F.collect_list(F.struct("seq", "at", "n", "digest"))).alias("chunks"),
     )
     ranged = recipes.select(F.col("doc_id").isNull().alias("none"), "*").repartitionByRange("none", "doc_id", "ord").sortWithinPartitions("none", "doc_id", "ord").drop("none")
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("local_start", T.LongType()), *ranged.schema.fields])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "pos", "local_start")] + ranged.schema.fields)
     ranged.mapInArrow(numbered, schema).write.option("compression", "zstd").parquet(f"{store}/recipes")
-    _write_manifest(spark, store, schema)
+    _write_manifest(spark, store)
     return store
 
 
-def _write_manifest(spark: SparkSession, store: str, schema: T.StructType) -> None:
-    """One row for each part of the recipes; the driver holds those only."""
-    recipes = spark.read.schema(schema).parquet(f"{store}/recipes")
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """part, docs, tokens, root: the Merkle tree over each part's recipes, block by block."""
+    fields = ["part", "pos", "local_start", "doc_id", "ord", "n_tokens"]
+    shown = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in fields])
+    leaf = F.unhex(F.sha2(F.concat(F.col("root"), shown.cast("binary")), 256))
+    blocks = recipes.select("part", "pos", "n_tokens", leaf.alias("leaf")).groupBy("part", F.floor(F.col("pos") / BLOCK).alias("block"))
+    each = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("pos", "leaf"))).alias("leaves"))
 
     def rooted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A file holds one part's recipes in order, so a task's roots are hashed as they come."""
         for part in parts:
-            tops: dict[int, tuple[int, int, bytes]] = {}
-            for p, start, n, root in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                docs, tokens, acc = tops.get(p, (0, 0, bytes(32)))
-                leaf = hashlib.sha256(root + start.to_bytes(8, "little") + n.to_bytes(8, "little")).digest()
-                tops[p] = (docs + 1, tokens + n, bytes(a ^ b for a, b in zip(acc, leaf, strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(tops), pa.int64()), *(pa.array([t[i] for t in tops.values()], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary())))],
-                ["part", "docs", "tokens", "root"],
-            )
-
-    each = recipes.select("part", "local_start", "n_tokens", "root").mapInArrow(rooted, "part long, docs long, tokens long, root binary")
-    tops = each.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list("root")).alias("roots"))
+            roots = [merkle_root([x["leaf"] for x in leaves]) for leaves in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in part.column(3)], pa.int64()), pa.array(roots, pa.binary())], ["part", "block", "tokens", "docs", "root"])
+
+    tops = each.select("part", "block", "tokens", F.col("leaves")).mapInArrow(rooted, "part long, block long, tokens long, docs long, root binary")
+    whole = tops.groupBy("part").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("block", "root"))).alias("blocks"))
+
+    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            roots = [merkle_root([x["root"] for x in blocks]) for blocks in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(roots, pa.binary())], ["part", "docs", "tokens", "root"])
+
+    return whole.mapInArrow(joined, "part long, docs long, tokens long, root binary")
+
+
+MANIFEST = "part long, docs long, tokens long, start long, root binary, top binary"
+
+
+def _top(rows: list) -> bytes:
+    """The root over manifest rows (part, docs, tokens, start, root) in order of part."""
+    return merkle_root([hashlib.sha256(b"%d:%d:%d:%d:" % tuple(r[:4]) + bytes(r[4])).digest() for r in rows])
+
+
+def _write_manifest(spark: SparkSession, store: str) -> None:
+    """One row for each part of the recipes; the driver holds those only."""
     start, rows = 0, []
-    for row in sorted(tops.collect(), key=lambda r: r["part"]):
-        acc = bytes(32)
-        for root in row["roots"]:
-            acc = bytes(a ^ b for a, b in zip(acc, root, strict=True))
-        rows.append((row["part"], row["docs"], row["tokens"], start, bytearray(acc)))
+    for row in sorted(part_roots(spark.read.parquet(f"{store}/recipes")).collect(), key=lambda r: r["part"]):
+        rows.append((row["part"], row["docs"], row["tokens"], start, bytearray(row["root"])))
         start += row["tokens"]
-    top = bytearray(merkle_root([bytes(r[4]) for r in rows]))
-    rows = [(*r, top) for r in rows]
-    spark.createDataFrame(rows, "part long, docs long, tokens long, start long, root binary, top binary").coalesce(1).write.parquet(f"{store}/manifest")
+    top = bytearray(_top(rows))
+    spark.createDataFrame([(*r, top) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{store}/manifest")
+
+
+def proved_manifest(spark: SparkSession, store: str) -> DataFrame:
+    """part, start of the manifest, whose rows are held against ``top`` and against the recipes; a difference stops the job."""
+    known = spark.read.schema(MANIFEST).parquet(f"{store}/manifest")
+    rows, start = sorted(known.collect(), key=lambda r: r["part"]), 0  # a row for each part
+    for r in rows:
+        if r["start"] != start or bytes(r["top"]) != _top(rows):
+            raise ValueError("the manifest does not lead to its Merkle root")
+        start += r["tokens"]
+    found = part_roots(spark.read.parquet(f"{store}/recipes")).withColumn("found", F.lit(True))
+    same = F.col("f.found") & F.col("m.top").isNotNull() & (F.col("m.docs") == F.col("f.docs")) & (F.col("m.tokens") == F.col("f.tokens")) & (F.col("m.root") == F.col("f.root"))
+    met = known.alias("m").join(found.alias("f"), F.col("m.part") == F.col("f.part"), "full")
+    sure = F.when(F.coalesce(same, F.lit(False)), F.col("m.start")).otherwise(F.raise_error(F.lit("a part's recipes do not lead to its Merkle root")).cast("long"))
+    return met.select(F.coalesce("m.part", "f.part").alias("part"), sure.alias("start"))
 
 
 #: x ** (8 * 2 ** k) modulo the CRC-32 polynomial (reflected), for shifting a checksum over zero bytes.
@@ -225,7 +263,9 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, ord, start, n_tokens, ids_crc32 of every document, from the files alone.
 
     Each chunk's bytes are held against its address, each document's addresses
-    against its Merkle root; a difference stops the job. The checksum of a document
+    against its Merkle root, each part's recipes against the manifest and that
+    against its top; a difference stops the job. doc_ids are whole numbers (others
+    are cast to long when written, to null where that fails). The checksum of a document
     is put together from those of its chunks, so bytes are read once for a chunk and
     never moved.
     """
@@ -256,17 +296,17 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
     each = met.select("ord", "digest", "after", "crc").mapInArrow(shifted, "ord long, digest binary, crc long")
     whole = each.groupBy("ord").agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("found"))
-    manifest = F.broadcast(spark.read.parquet(f"{store}/manifest").select("part", "start"))  # a row for each part
+    manifest = F.broadcast(proved_manifest(spark, store))  # a row for each part
 
     def proved(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for root, digests in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                if merkle_root(digests) != root:
+            for root, chunks in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                if merkle_root([chunk_leaf(c["at"], c["n"], c["digest"]) for c in chunks]) != root:
                     raise ValueError("a recipe does not lead to its Merkle root")
             yield part.select([0, 1, 2, 3, 6])
 
     heads = recipes.join(manifest, "part").select(
-        "doc_id", "ord", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "root", F.transform("chunks", lambda c: c["digest"]).alias("digests"),
+        "doc_id", "ord", (F.col("start") + F.col("local_start")).alias("start"), "n_tokens", "root", "chunks",
         F.size("chunks").cast("long").alias("n_chunks"),
     )
     heads = heads.mapInArrow(proved, "doc_id long, ord long, start long, n_tokens long, n_chunks long")
@@ -276,7 +316,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, ord, ids (array<int>) of every document, put together from its chunks."""
+    """doc_id, ord, ids (array<int>) of every document, put together from its chunks.
+
+    Null doc_ids stay null, repeated rows have their own recipes (``ord`` tells them
+    apart), an empty store gives no rows. Proofs are left to read_store.
+    """
     recipes = spark.read.parquet(f"{store}/recipes").select("doc_id", "ord", F.explode("chunks").alias("c"))
     chunks = chunk_table(spark, store).where("stored").select(F.col("digest").alias("stored_digest"), "ids")
     met = recipes.select("doc_id", "ord", "c.seq", "c.n", "c.digest").join(chunks, F.col("digest") == F.col("stored_digest"))

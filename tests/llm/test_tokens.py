@@ -145,6 +145,35 @@ def test_store_notices_damage(spark):
         token_store.read_store(spark, f"{store}-bad").collect()
 
 
+@pytest.mark.parametrize("what", ["doc_id", "n_tokens", "local_start", "pos", "part", "root", "at", "lost", "manifest.start", "manifest.root", "manifest.tokens"])
+def test_store_notices_damaged_recipes_and_manifest(spark, small_store, what):
+    bad = f"{small_store}-bad-{what}"
+    for name in ("chunks", "recipes", "manifest"):
+        frame = spark.read.parquet(f"{small_store}/{name}")
+        rows = [r.asDict(recursive=True) for r in frame.collect()]
+        table, _, field = what.rpartition(".")
+        if name == (table or "recipes"):
+            hit = max(rows, key=lambda r: r.get("pos", r["part"]))
+            if what == "lost":
+                rows.remove(hit)
+            elif field == "at":
+                hit["chunks"][0]["at"] += 1
+            elif field == "root":
+                hit["root"] = bytes(32)
+            else:
+                hit[field] = (hit[field] or 0) + 1
+        out = spark.createDataFrame(rows, frame.schema)
+        (out.write.partitionBy("stored") if name == "chunks" else out.write).parquet(f"{bad}/{name}")
+    with pytest.raises(Exception, match="Merkle|lost chunks|not hold"):
+        token_store.read_store(spark, bad).collect()
+
+
+@pytest.fixture(scope="module")
+def small_store(spark):
+    docs = spark.createDataFrame([r for r in rows() if r[0] is None or r[0] < 20], DOCS).repartition(3)
+    return token_store.write_store(docs, tokenizer())
+
+
 def test_empty_store(spark):
     store = token_store.write_store(spark.createDataFrame([], DOCS), tokenizer())
     assert token_store.read_store(spark, store).count() == 0
