@@ -4,10 +4,11 @@ Where white space only separates the tokenizer's pre-tokens, a text is encoded w
 by word and each distinct word once for a Python worker (a bounded cache); with a
 tokenizer of another kind the library gets whole texts. A word without
 any white space that is longer than ``LONG`` characters is encoded by tree
-concatenation: its pre-tokens are cut into leaves, all leaves are encoded in one
-batch, and neighbours are joined pairwise up a tree. At a join a window of tokens
-around it is encoded anew and grown until its first and last tokens agree with the
-old ones on both sides. In BPE a sequence whose neighbouring tokens each encode to
+concatenation: its pre-tokens are halved down to leaves, ``THREADS`` threads encode the
+leaves at the same time (the library leaves Python's lock meanwhile), and neighbours are
+joined pairwise up a tree, the joins of a level again at the same time. At a join a
+window of tokens around it is encoded anew and grown until its first and last tokens
+agree with the old ones on both sides. In BPE a sequence whose neighbouring tokens each encode to
 themselves is the encoding of the whole, so agreement there makes the join exact.
 """
 
@@ -20,6 +21,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ from pyspark.sql import types as T
 from .common import WORD, whole_text
 
 #: Words of more characters are encoded by tree concatenation.
-LONG = 4096
-#: Characters of a leaf of that tree.
-LEAF = 1024
+LONG = 256
+#: Characters of a leaf of that tree, at most, and threads that work on one.
+LEAF, THREADS = 4096, 4
 #: Distinct words kept by a worker; beyond, the cache starts anew.
 CACHE_WORDS = 500_000
 #: Characters worked on at a time.
@@ -234,18 +236,21 @@ class Codec:
         return ids
 
     def encode_part(self, part: str) -> list[int]:
-        """One pre-token: leaves in a batch, then joins up the tree."""
+        """One pre-token: halves down to leaves, all encoded side by side, then joins up the tree."""
         if len(part) <= self.leaf:
             return self.end_part.encode(part, add_special_tokens=False).ids
-        leaves = [part[i : i + self.leaf] for i in range(0, len(part), self.leaf)]
-        done = [e.ids for e in self.inner_part.encode_batch(leaves[:-1], add_special_tokens=False)]
-        done.append(self.end_part.encode(leaves[-1], add_special_tokens=False).ids)
-        while len(done) > 1:
-            done = [
-                self._join(done[i], done[i + 1], last=i + 2 >= len(done)) if i + 1 < len(done) else done[i] for i in range(0, len(done), 2)
-            ]
+        leaves = _halves(part, self.leaf)
+        with ThreadPoolExecutor(THREADS) as pool:
+            done = list(pool.map(self._leaf, leaves, [self.inner_part] * (len(leaves) - 1) + [self.end_part]))
+            while len(done) > 1:
+                pairs = list(itertools.zip_longest(done[::2], done[1::2]))
+                done = list(pool.map(lambda k, pairs=pairs: self._join(*pairs[k], last=k + 1 == len(pairs)) if pairs[k][1] is not None else pairs[k][0], range(len(pairs))))
         return done[0]
 
+    @staticmethod
+    def _leaf(text: str, encoder) -> list[int]:
+        return encoder.encode_batch([text], add_special_tokens=False)[0].ids  # a batch is encoded without Python's lock
+
     def _text(self, ids: list[int], last: bool) -> str:
         text = "".join(self.strings[i] for i in ids)
         suffix = self.tokenizer.model.end_of_word_suffix
@@ -258,12 +263,20 @@ class Codec:
             ends = last and b == len(right)
             window = left[a:] + right[:b]
             encoder = self.end_part if ends else self.inner_part
-            fresh = encoder.encode(self._text(window, ends), add_special_tokens=False).ids
+            fresh = self._leaf(self._text(window, ends), encoder)
             if (a == 0 or fresh[0] == window[0]) and (b == len(right) or fresh[-1] == window[-1]):
                 return left[:a] + fresh + right[b:]
             width *= 2
 
 
+def _halves(text: str, most: int) -> list[str]:
+    """The leaves of a text that is halved until no piece has more than ``most`` characters."""
+    if len(text) <= most:
+        return [text]
+    middle = len(text) // 2
+    return _halves(text[:middle], most) + _halves(text[middle:], most)
+
+
 def _inside(offsets: list[tuple[int, int]], owner: np.ndarray, words: list[str]) -> bool:
     """Whether each token (start, end) lies in its own word of the words joined by single spaces."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -336,7 +349,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(box, decoded) of the rows of encode_documents; null ids decode to null."""
+    """(box, decoded) of the rows of encode_documents; null ids decode to null, none to an empty text."""
     schema = T.StructType([encoded.schema["box"], T.StructField("decoded", T.StringType())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,27 @@ def test_codec_is_exact(codec, library, text):
     assert codec.decode(np.array(got)) == library.decode(want, skip_special_tokens=False)
 
 
+def test_tree_concatenation_of_long_unsplit_texts(library):
+    """Words of up to a million characters without any white space, of letters, digits, signs and mixtures of them."""
+    rng = random.Random(11)
+    codec = bpe_codec.Codec(tokenizer(), leaf=512)
+    syllables = ("on", "the", "re", "ti", "es", "an", "la", "ción", "é", "ß", "x", "zz")
+    letters = "".join(rng.choice(syllables) for _ in range(20_000))
+    texts = [letters, "ab" * 9000, "a" * 20_001, "#" * 5000 + letters[:3000] + "=" * 700 + "12" * 900, f"{letters[:9000]}<|endoftext|>{letters[:700]}", "我" * 3000]
+    texts += [letters[i : i + rng.randint(257, 4000)] for i in range(0, 8000, 900)]
+    texts.append("".join(rng.choice(syllables) for _ in range(500_000)))
+    for t in (*texts, " ".join(texts[:3])):
+        got = codec.encode_all([t])[0].tolist()
+        assert got == library.encode(t, add_special_tokens=False).ids
+    assert bpe_codec.Codec(tokenizer()).encode_all(texts)[0].tolist() == codec.encode_all(texts[:1])[0].tolist()
+
+
+def test_null_and_empty_ids_decode(spark):
+    made = spark.createDataFrame([((1,), None), ((2,), [])], "box struct<doc_id:long>, ids array<int>")
+    got = {r["box"]["doc_id"]: r["decoded"] for r in bpe_codec.decode_documents(made, tokenizer()).collect()}
+    assert got == {1: None, 2: ""}
+
+
 def test_cache_starts_anew_without_a_trace(library):
     small = bpe_codec.Codec(tokenizer(), cache_words=50)
     rng = random.Random(2)
