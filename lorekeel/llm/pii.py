@@ -326,7 +326,11 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", examples: int = EXAMPLES) -> DataFrame:
-    """(doc_id, text) of every row with each span replaced by its kind in brackets."""
+    """(doc_id, text) of every row with each span replaced by its kind in brackets.
+
+    Null texts come back empty; nulls, repeated rows and empty tables otherwise as in
+    find_personal_data.
+    """
     model = detector(examples)
     frame = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
 

@@ -30,7 +30,7 @@ def _pii_text(spans: str) -> Column:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(number, pii.BASE_KINDS), F.sha2(_pii_text("base"), 256).alias("base_sha256"), _pii_text("spans").alias("spans"))
+    return found.select("doc_id", *map(number, pii.BASE_KINDS), F.sha2(_pii_text("base"), 256).alias("base_sha256"), _pii_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_private"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
