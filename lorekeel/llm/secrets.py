@@ -156,14 +156,20 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     frame = frame.withColumn("weak", free)
     rows = cut(frame.select("doc_id", "base", "weak", F.when(F.size("weak") > 0, F.sha2("text", 256)).alias("text_key")))
     links = cut(linked_parts(rows))
-    met = rows.join(links, "text_key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    return met.select("doc_id", "base", F.concat("base", F.coalesce("links", none)).alias("spans"))
+    # texts without weak parts stay out of the join, where they would share one null key
+    met = rows.where("text_key is not null").join(links, "text_key", "left").select("doc_id", "base", F.concat("base", F.coalesce("links", none)).alias("spans"))
+    return met.unionByName(rows.where("text_key is null").select("doc_id", "base", F.col("base").alias("spans")))
 
 
 def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """(doc_id, text) of every row, with each reported span replaced by ``mark``; overlapping spans share one."""
-    found = find_secrets(docs.withColumns({"__id": F.struct(F.col(doc_id).alias("id"), whole_text(text).alias("text"))}), text, "__id")
+    """(doc_id, text) of every row, with each reported span replaced by ``mark``; overlapping spans share one.
+
+    Null texts come back empty; nulls, repeated rows and empty tables otherwise as in
+    find_secrets.
+    """
+    boxed = docs.select(F.struct(F.col(doc_id).alias("id"), whole_text(text).alias("text")).alias("box"), whole_text(text).alias("text"))
+    found = find_secrets(boxed, "text", "box")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, s: Column) -> Column:
