@@ -63,9 +63,10 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
-    def put(self, frame: DataFrame) -> DataFrame:
+    def put(self, frame: DataFrame, narrow: bool = False) -> DataFrame:
+        """Write a table and read it; ``narrow`` rows of a few numbers are first gathered into files of the advisory size."""
         path = f"{self.folder}/{len(self.paths)}"
-        frame.write.parquet(path)
+        (frame.hint("rebalance") if narrow else frame).write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -81,10 +82,10 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared folder and cut its lineage there."""
+def cut(frame: DataFrame, narrow: bool = False) -> DataFrame:
+    """Materialise a frame in the shared folder and cut its lineage there; ``narrow`` as in Tables.put."""
     shared_dir(frame.sparkSession)
-    return frame.checkpoint()
+    return (frame.hint("rebalance") if narrow else frame).checkpoint()
 
 
 def keep_rows(docs: DataFrame, winners: DataFrame, digest: Column, text: str, doc_id: str) -> DataFrame:

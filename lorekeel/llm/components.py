@@ -35,10 +35,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path.
     """
     tables = Tables(edges.sparkSession, "components")
-    now = tables.put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = tables.put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
     stamp = None
     while True:
-        last, now = now, tables.put(_small_star(_large_star(now)))
+        last, now = now, tables.put(_small_star(_large_star(now)), narrow=True)
         tables.drop(last)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == stamp or not seen["n"]:

@@ -151,7 +151,7 @@ def source_plan(narrow: DataFrame, weights: Sequence[float], most: int, bits: in
         targets.withColumn("whole", whole).select("*", gap.alias("gap"), F.lit(1).cast("long").alias("filled"), F.array().cast("array<struct<gap:long,upto:long>>").alias("walks"))
     )
     while not state.where((F.col("filled") > 0) & (F.col("gap") > F.col("target") * TOLERANCE)).isEmpty():
-        state, last = tables.put(_walk(narrow, state, bits)), state
+        state, last = tables.put(_walk(narrow, state, bits), narrow=True), state
         tables.drop(last)
     left = _with_source(narrow, state.select("source", "gap", "walks", "whole")).where((F.col("size") > 0) & (F.col("gap") > 0) & (F.col("whole") < most) & ~_taken_in_walks())
     # rows of one key come in together, so their words count together

@@ -153,22 +153,22 @@ def _least_of_pair(a: Column, b: Column, kept: int) -> Column:
 def _survivors(classes: DataFrame, tables: Tables) -> DataFrame:
     """cid of the classes that share enough of their sketch with others for a partner to be possible."""
     held = classes.select("cid", "n", F.explode("sketch").alias("value"))
-    shared = tables.put(held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"))
+    shared = tables.put(held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"), narrow=True)
     met = held.join(_bounded(shared), "value", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("shared"))
-    out = tables.put(met.where(F.col("shared") >= _least(F.col("n"), KEPT)).select("cid"))
+    out = tables.put(met.where(F.col("shared") >= _least(F.col("n"), KEPT)).select("cid"), narrow=True)
     tables.drop(shared)
     return out
 
 
 def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, doc_id: str, tables: Tables) -> DataFrame:
     """cid, n, sketch, values (the full set) of the classes named, from the texts of their first rows."""
-    chosen = tables.put(classes.select("cid", "doc_id", "digest").join(_bounded(cids), "cid", "left_semi"))
-    ids = tables.put(chosen.select(F.col("doc_id").alias("pick")).distinct())
+    chosen = tables.put(classes.select("cid", "doc_id", "digest").join(_bounded(cids), "cid", "left_semi"), narrow=True)
+    ids = chosen.select(F.col("doc_id").alias("pick"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).join(_bounded(ids), F.col("doc_id").eqNullSafe(F.col("pick")), "left_semi")
     found = full_sets(rows).join(_bounded(chosen.select("digest", "cid")), "digest")
     out = tables.put(found.select("cid", F.monotonically_increasing_id().alias("mark"), F.size("values").cast("long").alias("n"), F.slice("values", 1, KEPT).alias("sketch"), "values"))
     if out.count() > chosen.count():  # repeated rows
-        firsts = tables.put(out.groupBy("cid").agg(F.min("mark").alias("mark")).select("mark"))
+        firsts = tables.put(out.groupBy("cid").agg(F.min("mark").alias("mark")).select("mark"), narrow=True)
         out = out.join(_bounded(firsts), "mark", "left_semi")
     return out.drop("mark")
 
@@ -192,9 +192,9 @@ def _star_pairs(ranked: DataFrame) -> DataFrame:
 
 def _star_links(ranked: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     """Links between list members and centres: those the lists themselves prove, and of the others each member's best one."""
-    pairs = tables.put(_star_pairs(ranked))
+    pairs = tables.put(_star_pairs(ranked), narrow=True)
     whole = (F.greatest("na", "nb") <= WIDE) & (F.col("lists") * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
-    proven = tables.put(pairs.where(whole).select("a", "b"))
+    proven = pairs.where(whole).select("a", "b")
     best = pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b")
     links = _verified(best, sets, tables)
     return proven.unionByName(links)
@@ -206,18 +206,18 @@ def _whole_pass(ranked: DataFrame, labels: DataFrame, tables: Tables) -> DataFra
     held = ranked.join(named, "cid", "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), F.explode("values").alias("at"))
     held = held.select("cid", "n", "label", "at.members", "at.value")
     spread = held.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("smallest"))
-    spread = tables.put(spread.where("low < high").select("value", "smallest"))
+    spread = tables.put(spread.where("low < high").select("value", "smallest"), narrow=True)
     met = held.join(_bounded(spread), "value")
     lists = met.groupBy("cid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("members", "value", "smallest"))).alias("values"))
     at = lists.select("cid", "n", "label", F.size("values").alias("all"), F.posexplode("values").alias("pos", "at"))
     at = at.select("cid", "n", "label", (F.col("all") - F.col("pos")).alias("left"), "at.value", "at.smallest")
     n, least = F.col("n"), _least(F.col("n"), WIDE)
     useful = F.when(n * 100 <= WIDE * SIMILAR, F.col("left") >= _least_of_pair(n, F.col("smallest"), WIDE)).otherwise(True)
-    entries = tables.put(at.where((F.col("left") >= least) & useful).drop("smallest"))
+    entries = tables.put(at.where((F.col("left") >= least) & useful).drop("smallest"), narrow=True)
     x, y = entries.alias("x"), entries.alias("y")
     enough = F.least("x.left", "y.left") >= _least_of_pair(F.col("x.n"), F.col("y.n"), WIDE)
     met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough)
-    out = tables.put(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    out = tables.put(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), narrow=True)
     tables.drop(spread, entries)
     return out
 
@@ -234,9 +234,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     union = F.slice(F.sort_array(F.array_union("va", "vb")), 1, KEPT)
     size = F.least(F.size("union"), F.lit(KEPT))
     near = F.size(F.array_intersect("union", "shared")) >= size * SIMILAR / 100 - F.when((F.col("na") <= KEPT) & (F.col("nb") <= KEPT), 1e-6).otherwise(_slack(KEPT))
-    passed = tables.put(_met(pairs, sets, "sketch").select("a", "b", "na", "nb", union.alias("union"), shared.alias("shared")).where(near).select("a", "b"))
+    passed = tables.put(_met(pairs, sets, "sketch").select("a", "b", "na", "nb", union.alias("union"), shared.alias("shared")).where(near).select("a", "b"), narrow=True)
     counted = _met(passed, sets, "values").select("a", "b", "na", "nb", F.size(shared).alias("shared"))
-    return tables.put(counted.where(100 * F.col("shared") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
+    return tables.put(counted.where(100 * F.col("shared") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), narrow=True)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     best = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("cid").alias("ord"))).alias("best"))
     linked = named.join(best, "label").select("digest", "best.doc_id", "best.ord")
     single = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left_anti").select("digest", "doc_id", F.col("cid").alias("ord"))
-    found = tables.put(linked.unionByName(single).select("digest", F.col("doc_id").alias("component_id"), F.col("ord").alias("kept_ord")))
+    found = tables.put(linked.unionByName(single).select("digest", F.col("doc_id").alias("component_id"), F.col("ord").alias("kept_ord")), narrow=True)
     tables.drop(classes)
     members = some.select("doc_id", "ord", "n", "text_sha256", "digest").join(found, "digest").select(
         "doc_id", "ord", "text_sha256", F.col("n").alias("n_shingles"), "component_id", (F.col("ord") == F.col("kept_ord")).alias("kept")
