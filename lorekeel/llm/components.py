@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables
 
+#: At most so many edges are joined in one task.
+FEW_EDGES = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the smallest of its neighbourhood."""
@@ -25,17 +31,38 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _smallest_reachable(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all edges (a, b) of one task, by union with path halving."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for part in edges:
+        for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    nodes = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
+def connected_components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, label) of every node that has an edge (a, b: long); label is the smallest node reachable.
 
-    Alternating large-star and small-star steps: aggregations and joins only, so a
+    Up to ``few`` edges, by their count, are joined in one task. More go through
+    alternating large-star and small-star steps: aggregations and joins only, so a
     node with very many edges is combined before the shuffle and its join is
     splittable. Every round is written to the shared folder and replaces the one
     before; loops and repeated edges are ignored. The number of rounds grows with
-    the logarithm of the longest path.
+    the logarithm of the longest path. Both ways give the same labels.
     """
     tables = Tables(edges.sparkSession, "components")
     now = tables.put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), narrow=True)
+    if now.count() <= few:
+        return tables.put(now.coalesce(1).mapInArrow(_smallest_reachable, "node long, label long"))
     stamp = None
     while True:
         last, now = now, tables.put(_small_star(_large_star(now)), narrow=True)

@@ -13,6 +13,7 @@ bucket), so a source with a third of all rows is spread over all tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -118,14 +119,16 @@ def _walk(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
     # a range frame: rows of one key are taken together
     upto = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     run = inside.select("source", "key", "gap", (F.col("offset") + F.sum("size").over(upto)).alias("end"))
-    some = run.where(F.col("end") <= F.col("gap")).groupBy(F.col("source").alias("s1")).agg(F.max("key").alias("last"), F.max("end").alias("end"))
-    ends = cross.select(F.col("source").alias("s2"), F.shiftleft("bucket", KEY_BITS - bits).alias("begin"), "offset")
-    sums = sums.groupBy(F.col("source").alias("s3")).agg(F.sum("sum").alias("all"))
-    met = (
-        state.join(some, F.col("source").eqNullSafe(F.col("s1")), "left")
-        .join(ends, F.col("source").eqNullSafe(F.col("s2")), "left")
-        .join(sums, F.col("source").eqNullSafe(F.col("s3")), "left")
-    )
+    # what is known of a source comes together by one aggregation
+    known = [
+        state.select("source", F.struct(*state.columns).alias("state")),
+        run.where(F.col("end") <= F.col("gap")).select("source", F.col("key").alias("last"), "end"),
+        cross.select("source", F.shiftleft("bucket", KEY_BITS - bits).alias("begin"), "offset"),
+        sums.groupBy("source").agg(F.sum("sum").alias("all")),
+    ]
+    every = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), known)
+    met = every.groupBy("source").agg(F.any_value("state", F.lit(True)).alias("state"), *[F.max(c).alias(c) for c in ("last", "end", "begin", "offset", "all")])
+    met = met.select("state.*", "last", "end", "begin", "offset", "all")
     filled = F.coalesce("end", "offset", "all", F.lit(0))
     last = F.coalesce("last", F.col("begin") - 1, F.lit((1 << KEY_BITS) - 1))
     walk = F.struct(F.col("gap").alias("gap"), last.cast("long").alias("upto"))

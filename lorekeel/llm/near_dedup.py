@@ -195,7 +195,7 @@ def _star_links(ranked: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame
     pairs = tables.put(_star_pairs(ranked), narrow=True)
     whole = (F.greatest("na", "nb") <= WIDE) & (F.col("lists") * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
     proven = pairs.where(whole).select("a", "b")
-    best = pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b")
+    best = tables.put(pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b"), narrow=True)
     links = _verified(best, sets, tables)
     return proven.unionByName(links)
 
@@ -223,9 +223,15 @@ def _whole_pass(ranked: DataFrame, labels: DataFrame, tables: Tables) -> DataFra
 
 
 def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """a, b, na, nb, va, vb: pairs with a column of both their sets."""
-    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("vb")), "b")
-    return right.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col(column).alias("va")), "a")
+    """a, b, na, nb, va, vb: written pairs with a column of both their sets.
+
+    Each side of a pair fetches its own and the two meet by the pair, so that a set
+    with very many partners is no hot key, and sets without partners stay where they are.
+    """
+    some = _bounded(pairs.select("a", "b"))
+    left = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col(column).alias("va")).join(some, "a")
+    right = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col(column).alias("vb")).join(some, "b")
+    return left.join(right, ["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
