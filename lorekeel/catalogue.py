@@ -131,7 +131,7 @@ SELECT question_id, chunk_id, round(distance, 6) AS distance, place FROM r WHERE
 def retrieve_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = P.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = P.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = retrieve.sparse_retrieve(embedding.sparse_hash_vectors(docs), embedding.sparse_hash_vectors(asked))
+    found = retrieve.sparse_retrieve(embedding.sparse_hash_vectors(docs), embedding.sparse_hash_vectors(asked), 256)
     return found.withColumn("distance", F.round("distance", 6))
 
 

@@ -203,17 +203,34 @@ def chunk_lists(chunks: DataFrame) -> DataFrame:
 
 
 def artifact_violations(downloads: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(file_id, violation): downloads and artifacts must match one to one, revisions included."""
-    many = artifacts.groupBy("file_id").agg(F.count("*").alias("n"), F.min("revision").alias("revision"), F.min("payload_sha256").alias("sha"))
-    met = downloads.select("file_id", F.col("revision").alias("wanted")).join(many, "file_id", "full_outer")
-    rules = F.array(
+    """(file_id, violation): downloads and artifacts must match one to one, revisions included.
+
+    With the columns native_kind and structured_path at hand, a native download needs a
+    structured file and others must have none, and no file may serve two artifacts.
+    """
+    routed = "native_kind" in downloads.columns and "structured_path" in artifacts.columns
+    extra = [F.min("structured_path").alias("structured")] if routed else []
+    many = artifacts.groupBy("file_id").agg(F.count("*").alias("n"), F.min("revision").alias("revision"), F.min("payload_sha256").alias("sha"), *extra)
+    kind = [F.col("native_kind").alias("kind")] if routed else []
+    met = downloads.select("file_id", F.col("revision").alias("wanted"), *kind).join(many, "file_id", "full_outer")
+    both = F.col("wanted").isNotNull() & F.col("n").isNotNull()
+    rules = [
         F.when(F.col("n").isNull(), "artifact_missing"),
         F.when(F.col("wanted").isNull(), "artifact_unexpected"),
         F.when(F.col("n") > 1, "artifact_repeated"),
-        F.when(F.col("wanted").isNotNull() & F.col("n").isNotNull() & (F.col("wanted") != F.col("revision")), "revision_differs"),
+        F.when(both & (F.col("wanted") != F.col("revision")), "revision_differs"),
         F.when(F.col("n").isNotNull() & ~F.coalesce(F.col("sha").rlike("^[0-9a-f]{64}$"), F.lit(False)), "payload_sha256_malformed"),
-    )
-    return met.select("file_id", F.explode(F.array_compact(rules)).alias("violation"))
+    ]
+    if not routed:
+        return met.select("file_id", F.explode(F.array_compact(F.array(*rules))).alias("violation"))
+    rules += [
+        F.when(both & F.col("kind").isNotNull() & F.col("structured").isNull(), "structured_file_missing"),
+        F.when(both & F.col("kind").isNull() & F.col("structured").isNotNull(), "structured_file_unexpected"),
+    ]
+    places = artifacts.select("file_id", F.explode(F.array_compact(F.array("payload_path", "structured_path"))).alias("path"))
+    shared = places.groupBy("path").agg(F.count("*").alias("n"), F.min("file_id").alias("file_id")).where("n > 1")
+    found = met.select("file_id", F.explode(F.array_compact(F.array(*rules))).alias("violation"))
+    return found.unionByName(shared.select("file_id", F.lit("path_repeated").alias("violation")))
 
 
 def status_summary(manifest: DataFrame) -> DataFrame:

@@ -7,8 +7,12 @@ of each chunk stays, then the distance threshold, then the limit of at most ``MO
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,10 @@ from ..functions.vectors import cosine_distance, literal
 
 #: Candidates, results, default threshold, length of an excerpt.
 CANDIDATES, MOST, THRESHOLD, EXCERPT = 32, 8, 0.45, 1000
+#: Questions that are asked at a time; their vectors go to every task.
+QUESTION_BLOCK = 4096
+#: Passages of a task that meet a block at a time.
+SLICE = 512
 
 
 def nearest(records: DataFrame, query: Sequence[float], roots: Sequence[str] | None = None, k: int = CANDIDATES) -> DataFrame:
@@ -62,16 +70,50 @@ def answer(records: DataFrame, query: Sequence[float], roots: Sequence[str], thr
     return found
 
 
-def sparse_retrieve(passages: DataFrame, questions: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, limit: int = MOST) -> DataFrame:
+def sparse_retrieve(passages: DataFrame, questions: DataFrame, dimension: int, threshold: float = THRESHOLD, k: int = CANDIDATES, limit: int = MOST, block: int = QUESTION_BLOCK) -> DataFrame:
     """(question_id, chunk_id, distance, place) for many questions over sparse unit vectors.
 
-    Both sides are rows (id, dim, value). The dot products come from an equi-join on
-    the dimension and a partial aggregation; only pairs with a common dimension exist.
+    Both sides are rows (id, dim, value). Questions are asked in blocks, passages are
+    gathered to one row each, and a block's vectors meet slices of a task's passages as
+    two matrices. A task keeps the k nearest of each question, so that k rows a question
+    and task leave it at most, never a row for each pair, and no dimension is a key. The
+    nearest of all tasks are taken by a last window.
     """
-    q = questions.select(F.col("id").alias("question_id"), "dim", F.col("value").alias("qv"))
-    p = passages.select(F.col("id").alias("chunk_id"), "dim", F.col("value").alias("pv"))
-    near = q.join(p, "dim").groupBy("question_id", "chunk_id").agg(F.sum(F.col("qv") * F.col("pv")).alias("dot"))
-    near = near.withColumn("distance", F.round(F.greatest(1 - F.col("dot"), F.lit(0.0)), 9))
+    held = passages.groupBy("id").agg(F.collect_list(F.struct("dim", "value")).alias("v")).select("id", F.col("v.dim").alias("dims"), F.col("v.value").alias("values"))
+    asked = questions.select(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(questions.select("id").distinct().count() / block)))).alias("block"), "id", "dim", "value")
+    blocks = [r["block"] for r in asked.select("block").distinct().orderBy("block").collect()] or [0]
+    near = functools.reduce(DataFrame.unionByName, [_nearest_of_block(held, asked.where(F.col("block") == b), dimension, threshold, k) for b in blocks])
     place = Window.partitionBy("question_id").orderBy("distance", "chunk_id")
-    first = near.withColumn("place", F.row_number().over(place)).where((F.col("place") <= k) & (F.col("distance") <= threshold))
-    return first.where(F.col("place") <= limit).select("question_id", "chunk_id", "distance", "place")
+    first = near.withColumn("place", F.row_number().over(place)).where(F.col("place") <= min(k, limit))
+    return first.select("question_id", "chunk_id", "distance", "place")
+
+
+def _nearest_of_block(held: DataFrame, asked: DataFrame, dimension: int, threshold: float, k: int) -> DataFrame:
+    """(question_id, chunk_id, distance) of the k nearest passages (id, dims, values) in each task."""
+    names: dict[str, int] = {}
+    cells = [(r["dim"], names.setdefault(r["id"], len(names)), r["value"]) for r in asked.orderBy("id", "dim").collect()]  # a block's
+    matrix = np.zeros((dimension, len(names)))
+    for dim, column, value in cells:
+        matrix[dim, column] = value
+    questions = np.array(list(names), object)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, chosen = np.zeros((0, len(questions))), np.zeros((0, len(questions)), object)
+        for part in parts:
+            for start in range(0, part.num_rows, SLICE):
+                ids, dims, values = part.slice(start, SLICE).columns
+                sizes = np.array([len(x) for x in dims], np.int64)
+                dense = np.zeros((len(ids), dimension))
+                dense[np.repeat(np.arange(len(ids)), sizes), dims.flatten().to_numpy()] = values.flatten().to_numpy()
+                distance = np.concatenate([best, np.round(np.maximum(1 - dense @ matrix, 0.0), 9)])
+                every = np.concatenate([chosen, np.broadcast_to(np.array(ids.to_pylist(), object)[:, None], (len(ids), len(questions)))])
+                # strings are compared only where distances tie
+                order = np.lexsort((np.unique(every, return_inverse=True)[1].reshape(every.shape), distance), axis=0)[:k]
+                best, chosen = np.take_along_axis(distance, order, 0), np.take_along_axis(every, order, 0)
+        near = best <= threshold
+        asked_by = np.broadcast_to(questions, best.shape)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(asked_by[near].tolist(), pa.string()), pa.array(chosen[near].tolist(), pa.string()), pa.array(best[near], pa.float64())], ["question_id", "chunk_id", "distance"]
+        )
+
+    return held.mapInArrow(run, "question_id string, chunk_id string, distance double")

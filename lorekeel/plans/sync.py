@@ -33,6 +33,8 @@ from .storage import Storage
 
 MIRROR = "file_id string, root_id string, local_path string, object_sha256 string"
 OBJECTS = "object_sha256 string, content binary"
+#: At most so many file ids are broadcast to pick payloads.
+BROADCAST_FILES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -169,6 +171,7 @@ class SyncEngine:
         except CorpusError:
             self._failed(journal["snapshot"]["generated_at"])
             self.storage.delete("journal.json")
+            self.storage.delete(f"versions/{journal['version']}")
             raise
         changed = self.storage.read_json(f"versions/{journal['version']}/changed.json") or {"changed": True}
         self.storage.delete("journal.json")
@@ -192,14 +195,18 @@ class SyncEngine:
         """Verify, extract, chunk and embed the downloads: the one stage that reads payloads."""
         folder = f"versions/{journal['version']}"
         plan, files = self._staged(folder, "plan"), self._staged(folder, "files")
-        wanted = plan.where("action = 'download'").select("file_id").join(files, "file_id").join(self._staged(folder, "artifacts").drop("revision", "structured_path"), "file_id")
-        payloads = extraction.read_payloads(self.spark, wanted, journal["payload_folder"])
-        bad = payloads.where(
-            F.col("payload_hash").isNotNull() & ((F.col("payload_hash") != F.col("payload_sha256")) | (F.col("native_kind").isNull() & F.col("checksum").isNotNull() & (F.col("payload_md5") != F.col("checksum"))) | (F.col("native_kind").isNull() & F.col("size").isNotNull() & (F.col("length") != F.col("size"))))
-        )
-        inventory.require_none(bad.select("file_id", F.lit("the payload is not the one announced")), "INVALID_ARTIFACT")
-        self._write(payloads.where("content is not null").select(F.col("payload_hash").alias("object_sha256"), "content", "file_id"), folder, "payloads")
-        blocks, failures = extraction.extract(payloads, self.hooks)
+        wanted = plan.where("action = 'download'").select("file_id").join(files, "file_id").join(self._staged(folder, "artifacts").drop("revision"), "file_id")
+        # read once: what follows checks and extracts the written copy
+        self._write(extraction.read_payloads(self.spark, wanted, journal["payload_folder"]), folder, "payloads")
+        payloads = self._staged(folder, "payloads")
+        native = F.col("native_kind").isNotNull()
+        wrong = (F.col("payload_hash") != F.col("payload_sha256")) | (native & (F.substring("content", 1, 5) != F.lit(b"%PDF-")))
+        wrong = wrong | (~native & ((F.col("payload_md5") != F.col("checksum")) | (F.col("length") != F.col("size"))))
+        inventory.require_none(payloads.where(F.col("payload_hash").isNotNull() & wrong).select("file_id", F.lit("the payload is not the one announced")), "INVALID_ARTIFACT")
+        structured = extraction.read_structured(self.spark, wanted.where(native), journal["payload_folder"])
+        found = extraction.extract_found(payloads.where(~native), self.hooks).unionByName(extraction.extract_native(structured))
+        self._write(found, folder, "found")
+        blocks, failures = extraction.split_found(self._staged(folder, "found"))
         fatal = failures.join(files.select("file_id", "native_kind"), "file_id").where(~F.col("code").isin(*DEGRADING) | F.col("native_kind").isNotNull())
         if first := fatal.first():
             raise CorpusError(f"{first['file_id']} cannot be extracted", first["code"])
@@ -249,9 +256,13 @@ class SyncEngine:
     def _promote(self, journal: dict) -> None:
         """Payloads not held yet join the objects, each content once."""
         folder = f"versions/{journal['version']}"
-        new = self._staged(folder, "payloads").select("object_sha256", "content").dropDuplicates(["object_sha256"])
-        missing = new.join(self.objects().select("object_sha256"), "object_sha256", "left_anti")
-        missing.write.mode("append").parquet(self.storage.path("objects"))
+        payloads = self._staged(folder, "payloads").where("content is not null")
+        # chosen by narrow rows: bytes are copied, not exchanged
+        new = payloads.groupBy("payload_hash").agg(F.min("file_id").alias("file_id"))
+        new = new.join(self.objects().select("object_sha256"), F.col("payload_hash") == F.col("object_sha256"), "left_anti").select("file_id")
+        new = F.broadcast(new) if new.count() <= BROADCAST_FILES else new
+        chosen = payloads.join(new, "file_id", "left_semi").select(F.col("payload_hash").alias("object_sha256"), "content")
+        chosen.write.mode("append").parquet(self.storage.path("objects"))
 
     def _mirror(self, journal: dict) -> None:
         """Places of the version and, beside them, the old ones that it gives up."""

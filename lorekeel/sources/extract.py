@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..errors import CorpusError
 from ..functions.text import normalize_extracted
 from . import office
-from .tabular import GROUP_ROWS, MAX_CELLS
+from .native import piece_text, structured_pieces
+from .tabular import MAX_CELLS, sheet_lines
 from .text import MAX_NODES, count_nodes, html_markdown, json_pieces
 
 #: File sizes and MIME types.
@@ -55,27 +56,11 @@ def _decoded(data: bytes) -> str:
         raise CorpusError("the payload is no UTF-8", "EXTRACTION_FAILED") from error
 
 
-def _sheet_lines(rows: list[list[str]], name: str, ranged: bool) -> Iterator[tuple[str, str]]:
-    """The blocks of one sheet inside a payload, for formats parsed here (tables use sheet_blocks)."""
-    width, letters, n = max(map(len, rows), default=1), "", 0
-    n = width
-    while n > 0:
-        n, digit = divmod(n - 1, 26)
-        letters = chr(65 + digit) + letters
-    data = rows[1:]
-    starts = range(0, len(data), GROUP_ROWS) or range(1)
-    for at in starts:
-        part = data[at : at + GROUP_ROWS]
-        first, last = (1 if at == 0 else at + 2), max(1, at + 1 + len(part))
-        place = f"sheet:{name}!A{first}:{letters or 'A'}{last}" if ranged or len(starts) > 1 else f"sheet:{name}"
-        yield place, "\n".join("\t".join(r).rstrip() for r in [*rows[:1], *part]).strip()
-
-
 def _csv(data: bytes) -> Iterator[tuple[str, str]]:
     rows = list(csv.reader(io.StringIO(_decoded(data), newline="")))
     if sum(map(len, rows)) > MAX_CELLS:
         raise CorpusError("too many cells", "EXTRACTION_LIMIT_EXCEEDED")
-    yield from _sheet_lines(rows, "CSV", True)
+    yield from sheet_lines(rows, "CSV", True)
 
 
 def _json(data: bytes) -> Iterator[tuple[str, str]]:
@@ -90,7 +75,7 @@ def _json(data: bytes) -> Iterator[tuple[str, str]]:
 
 def _xlsx(data: bytes) -> Iterator[tuple[str, str]]:
     for name, rows in office.xlsx_sheets(data):
-        yield from _sheet_lines(rows, name, False)
+        yield from sheet_lines(rows, name, False)
 
 
 def payload_blocks(data: bytes | None, mime_type: str, hooks: dict[str, Hook] | None = None) -> list[tuple[str, str]]:
@@ -113,13 +98,39 @@ def payload_blocks(data: bytes | None, mime_type: str, hooks: dict[str, Hook] |
     return list(route[mime_type](data))
 
 
-def extract(payloads: DataFrame, hooks: dict[str, Hook] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(blocks, failures) of payloads (file_id, revision, mime_type, content).
+def read_structured(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """``files`` (file_id, structured_path, …) that have a structured file, with its bytes in ``structured``; none if it is missing or too large."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    small = listed.where(F.col("length") <= MAX_FILE_BYTES).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").alias("structured"))
+    some = files.where("structured_path is not null")
+    return some.join(small, F.col("structured_path") == F.col("path"), "left").drop("path")
 
-    Blocks: file_id, revision, block_pos, locator, text. Failures: file_id, code. The
-    routed pass is one map; Markdown is cut into sections by the relational operator.
-    """
-    from .text import heading_blocks
+
+def extract_native(structured: DataFrame) -> DataFrame:
+    """found (file_id, revision, block_pos, locator, text, code) of native files (file_id, revision, native_kind, structured)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out: list[tuple] = []
+            for f, r, kind, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                try:
+                    if data is None:
+                        raise CorpusError("the structured file is missing or too large", "EXTRACTION_FAILED")
+                    out += [(f, r, i, *piece, None) for i, piece in enumerate(structured_pieces(data, kind))]
+                except CorpusError as error:
+                    out.append((f, r, None, None, None, None, error.code))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_id", "revision", "block_pos", "locator", "text", "notes", "code"])
+
+    pieces = structured.select("file_id", "revision", "native_kind", "structured").mapInArrow(
+        run, "file_id string, revision string, block_pos int, locator string, text string, notes string, code string"
+    )
+    return pieces.withColumn("text", piece_text(F.col("locator"), F.col("text"), F.col("notes"))).drop("notes")
+
+
+def extract_found(payloads: DataFrame, hooks: dict[str, Hook] | None = None) -> DataFrame:
+    """found (file_id, revision, block_pos, locator, text, code) of payloads (file_id, revision, mime_type, content): blocks, or a code."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -134,10 +145,23 @@ def extract(payloads: DataFrame, hooks: dict[str, Hook] | None = None) -> tuple[
             kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file_id", "revision", "block_pos", "locator", "text", "code"])
 
-    found = payloads.select("file_id", "revision", "mime_type", "content").mapInArrow(run, "file_id string, revision string, block_pos int, locator string, text string, code string")
-    if payloads.sparkSession.sparkContext.getCheckpointDir():
-        found = found.checkpoint()
+    return payloads.select("file_id", "revision", "mime_type", "content").mapInArrow(run, "file_id string, revision string, block_pos int, locator string, text string, code string")
+
+
+def split_found(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blocks, failures) of found rows, which should be written: both come from them.
+
+    Blocks: file_id, revision, block_pos, locator, text. Failures: file_id, code. The
+    routed pass is one map; Markdown is cut into sections by the relational operator.
+    """
+    from .text import heading_blocks
+
     plain = found.where("code is null and locator <> 'md:'").select("file_id", "revision", "block_pos", "locator", "text")
     plain = plain.withColumn("text", F.when(F.col("locator") == "text:1", normalize_extracted(F.col("text"))).otherwise(F.col("text")))
     cut = heading_blocks(found.where("locator = 'md:'").select("file_id", "revision", "text"))
     return plain.unionByName(cut), found.where("code is not null").select("file_id", "code")
+
+
+def extract(payloads: DataFrame, hooks: dict[str, Hook] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, failures) of payloads; a caller with a folder writes extract_found and splits that."""
+    return split_found(extract_found(payloads, hooks))

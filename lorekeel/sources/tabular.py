@@ -42,6 +42,21 @@ def sheet_blocks(rows: DataFrame, include_range: bool = True) -> DataFrame:
     return grouped.select("file_id", "revision", "sheet", "grp", place.alias("locator"), text.alias("text"), start.cast("int").alias("row_start"), F.col("row_end").cast("int").alias("row_end"))
 
 
+def sheet_lines(rows: list[list[str]], name: str, ranged: bool) -> Iterator[tuple[str, str]]:
+    """(locator, text) of one sheet inside a payload that is parsed here; tables use sheet_blocks."""
+    letters, n = "", max(map(len, rows), default=1) or 1
+    while n > 0:
+        n, digit = divmod(n - 1, 26)
+        letters = chr(65 + digit) + letters
+    data = rows[1:]
+    starts = range(0, len(data), GROUP_ROWS) or range(1)
+    for at in starts:
+        part = data[at : at + GROUP_ROWS]
+        first, last = (1 if at == 0 else at + 2), max(1, at + 1 + len(part))
+        place = f"sheet:{name}!A{first}:{letters}{last}" if ranged or len(starts) > 1 else f"sheet:{name}"
+        yield place, "\n".join("\t".join(r).rstrip() for r in [*rows[:1], *part]).strip()
+
+
 def over_limit(rows: DataFrame) -> DataFrame:
     """(file_id, cells) of files with more cells than a file may have; each row counts one at least."""
     cells = rows.groupBy("file_id").agg(F.sum(F.greatest(F.size("cells"), F.lit(1))).alias("cells"))
