@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as fx
@@ -243,6 +243,67 @@ def artifact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.artifact_violations(files, twice)
 
 
+@query("SELECT count(DISTINCT coalesce(source, 'none')) AS roots, count(DISTINCT doc_id) AS files FROM documents WHERE doc_id % 13 <> 0")
+def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.inventory_counts(P.inventory_now(P.table(spark, sf_dir, "documents")))
+
+
+@query("""
+WITH m AS (SELECT doc_id, 'doc-' || doc_id AS file_id, doc_id % 11 = 0 AS out FROM documents)
+SELECT file_id, 'revision_blank' AS violation FROM m WHERE doc_id % 5 = 0
+UNION ALL SELECT file_id, 'index_status_unknown' FROM m WHERE doc_id % 7 = 0
+UNION ALL SELECT file_id, 'indexed_with_reason' FROM m WHERE doc_id % 7 <> 0 AND NOT out AND doc_id % 4 = 0
+UNION ALL SELECT file_id, 'reason_unknown' FROM m WHERE doc_id % 7 <> 0 AND out AND doc_id % 4 = 0
+UNION ALL SELECT file_id, 'unindexed_with_chunks' FROM m WHERE doc_id % 7 <> 0 AND out AND doc_id % 6 = 0
+UNION ALL SELECT file_id, 'chunk_id_malformed' FROM m WHERE doc_id % 6 = 0
+UNION ALL SELECT file_id, 'chunk_id_of_other_file' FROM m WHERE doc_id % 6 = 0
+UNION ALL SELECT file_id, 'chunk_id_repeated' FROM m WHERE doc_id % 9 = 0 AND doc_id % 6 <> 0 AND NOT out""")
+def validate_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = P.manifest_rows(P.table(spark, sf_dir, "documents")), F.col("doc_id")
+    ids = F.when(n % 6 == 0, F.array(F.lit("other:x"))).when(n % 9 == 0, F.concat("active_chunk_ids", "active_chunk_ids")).otherwise(F.col("active_chunk_ids"))
+    broken = rows.withColumns({
+        "active_chunk_ids": ids,
+        "revision": F.when(n % 5 == 0, " ").otherwise(F.col("revision")),
+        "index_status": F.when(n % 7 == 0, "done").otherwise(F.col("index_status")),
+        "index_reason": F.when(n % 4 == 0, "LATER").otherwise(F.col("index_reason")),
+    })
+    return inventory.manifest_violations(broken)
+
+
+# The index under changes
+
+_RECORD = "'[\"vec-' || vec_id || '\",\"root-' || label || '\"]'"
+
+
+@query(f"""
+WITH r AS (SELECT vec_id, {_RECORD} AS record_id FROM embeddings)
+SELECT record_id, 'chunk_id_of_other_file' AS violation FROM r
+UNION ALL SELECT record_id, 'content_hash_differs' FROM r WHERE vec_id % 5 = 0
+UNION ALL SELECT record_id, 'document_blank' FROM r WHERE vec_id % 5 = 0
+UNION ALL SELECT record_id, 'dimension_differs' FROM r WHERE vec_id % 7 = 0
+UNION ALL SELECT record_id, 'vector_not_finite' FROM r WHERE vec_id % 8 = 0 AND vec_id % 7 <> 0""")
+def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = P.table(spark, sf_dir, "embeddings")
+    n, size = F.col("vec_id"), embeddings.select(F.size("embedding")).first()[0]
+    odd = F.transform("vector", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x))
+    vector = F.when(n % 7 == 0, F.slice("vector", 2, size)).when(n % 8 == 0, odd).otherwise(F.col("vector"))
+    return index.record_violations(P.index_records(embeddings).withColumns({"document": F.when(n % 5 == 0, " ").otherwise(F.col("document")), "vector": vector}), size)
+
+
+@query("SELECT 'vec-' || vec_id AS chunk_id, 'root-' || label AS root_id FROM embeddings WHERE vec_id % 3 <> 0 AND label <> 1")
+def delete_files_and_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = P.index_records(P.table(spark, sf_dir, "embeddings"))
+    return index.delete_root(index.delete_files(records, records.where("vec_id % 3 = 0")), "root-1").select("chunk_id", "root_id")
+
+
+@query("SELECT 'vec-' || vec_id AS chunk_id FROM embeddings WHERE vec_id % 9 = 0")
+def vector_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = P.index_records(P.table(spark, sf_dir, "embeddings"), roots=2)
+    moved = F.transform("vector", lambda x: x + F.when(F.col("vec_id") % 9 == 0, 0.01).otherwise(1e-9).cast("float"))
+    second = F.row_number().over(Window.partitionBy("chunk_id").orderBy("record_id")) == 2
+    return index.vector_disagreements(records.withColumn("second", second).withColumn("vector", F.when(F.col("second"), moved).otherwise(F.col("vector"))))
+
+
 # Extraction
 
 def _sheet_sql(table: str, columns: list[str], order: str, sheet: str) -> str:
@@ -267,6 +328,33 @@ _sheets("supplier", ["s_suppkey", "s_name", "s_nationkey"], "s_suppkey", None, "
 _sheets("part", ["p_partkey", "p_name", "p_type", "p_size"], "p_partkey", "p_brand", "p_brand")
 _sheets("customer", ["c_custkey", "c_name", "c_mktsegment"], "c_custkey", "c_nationkey", "c_nationkey::VARCHAR")
 
+@query(_sheet_sql("supplier", ["s_suppkey", "s_name", "s_acctbal"], "s_suppkey", "s_nationkey::VARCHAR"))
+def native_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One workbook with a sheet for each nation, its rows in nested columns."""
+    row = F.struct("s_suppkey", F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("s_suppkey", "s_name", "s_acctbal")]).alias("cells"))
+    sheets = P.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(row)).alias("data"))
+    header = F.array(F.array(F.lit("s_suppkey"), F.lit("s_name"), F.lit("s_acctbal")))
+    books = sheets.select("name", F.concat(header, F.transform("data", lambda x: x["cells"])).alias("rows")).groupBy(F.lit("book").alias("file_id"), F.lit("1").alias("revision")).agg(F.collect_list(F.struct("name", "rows")).alias("sheets"))
+    return native.spreadsheet_blocks(books).select("sheet", "grp", "locator", "text")
+
+
+_WORDS = "string_split(trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')), ' ')"
+
+
+@query(f"""
+WITH d AS (SELECT 'doc-' || doc_id AS file_id, {_WORDS} AS w FROM documents WHERE regexp_matches(coalesce(text, ''), '[A-Za-z]')),
+c AS (SELECT file_id, w, unnest(range(0, (len(w) + 39) // 40)) AS ordinal FROM d),
+t AS (SELECT file_id, ordinal, array_to_string(w[ordinal * 40 + 1:(ordinal + 1) * 40], ' ') AS text FROM c)
+SELECT file_id, ordinal, text, file_id || ':' || sha256(file_id || chr(0) || '1' || chr(0) || 'text:1' || chr(0) || ordinal || chr(0) || text) AS chunk_id FROM t""")
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose without sentence ends, in chunks of 40 words and no overlap."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    docs = P.table(spark, sf_dir, "documents").select(
+        P.file_id().alias("file_id"), F.lit("1").alias("revision"), F.lit(0).alias("block_pos"), F.lit("text:1").alias("locator"), words.alias("text"), F.create_map().cast("map<string,string>").alias("metadata")
+    )
+    return chunking.chunk_blocks(docs, max_tokens=40, overlap_tokens=0).select("file_id", F.col("ordinal").cast("long").alias("ordinal"), "text", "chunk_id")
+
+
 _NORMAL = "trim(regexp_replace(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
 
 

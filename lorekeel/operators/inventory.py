@@ -233,6 +233,12 @@ def artifact_violations(downloads: DataFrame, artifacts: DataFrame) -> DataFrame
     return found.unionByName(shared.select("file_id", F.lit("path_repeated").alias("violation")))
 
 
+def inventory_counts(files: DataFrame) -> DataFrame:
+    """One row: roots that files lie under, and distinct files."""
+    placed = files.select("file_id", F.explode_outer("paths").alias("p"))
+    return placed.agg(F.count_distinct("p.root_id").alias("roots"), F.count_distinct("file_id").alias("files"))
+
+
 def status_summary(manifest: DataFrame) -> DataFrame:
     """One row: files, indexed, unindexed, distinct active chunks."""
     chunks = manifest.select(F.explode("active_chunk_ids").alias("c")).agg(F.count_distinct("c").alias("chunks"))

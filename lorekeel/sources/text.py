@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import newlines, normalize_extracted, strip
@@ -27,19 +27,24 @@ def text_blocks(files: DataFrame) -> DataFrame:
 def heading_blocks(files: DataFrame) -> DataFrame:
     """Sections of Markdown payloads (file_id, revision, text): each heading carries on to the next.
 
-    Lines are exploded with their place, a running count of headings numbers the
-    sections, and a section's lines are gathered again: one shuffle by file.
+    A payload is one row, so its sections are cut within the row: the places of its
+    headings are the cuts between slices of its lines. Nothing is exchanged.
     """
-    lines = files.select("file_id", "revision", F.posexplode(F.split(newlines(F.regexp_replace("text", "^﻿", "")), "\n", -1)).alias("n", "line"))
-    title = F.when(F.col("line").rlike(HEADING), normalize_extracted(F.regexp_extract("line", HEADING, 1)))
-    titled = lines.withColumn("title", title).withColumn("kept", F.coalesce("title", strip(F.col("line"))))
-    count = F.count("title").over(Window.partitionBy("file_id", "revision").orderBy("n"))
-    sections = titled.withColumn("section", count).where("kept != ''").groupBy("file_id", "revision", "section").agg(
-        F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "kept"))), lambda x: x["kept"]), "\n").alias("text")
-    )
-    place = F.when(F.col("section") == 0, F.lit("section:Document")).otherwise(F.concat(F.lit("section:"), F.coalesce("title", F.lit("Untitled"))))
-    order = F.row_number().over(Window.partitionBy("file_id", "revision").orderBy("section")) - 1
-    return sections.select("file_id", "revision", order.alias("block_pos"), place.alias("locator"), normalize_extracted(F.col("text")).alias("text"))
+    lines = files.select("file_id", "revision", F.split(newlines(F.regexp_replace("text", "^﻿", "")), "\n", -1).alias("lines"))
+    heads = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(HEADING), i + 1)))
+    cuts = F.concat(F.array(F.lit(1)), heads, F.array(F.size("lines") + 1))
+
+    def section(at: Column, k: Column) -> Column:
+        own = F.slice(F.col("lines"), at, F.get(F.col("cuts"), k + 1) - at)
+        title = F.when(k > 0, normalize_extracted(F.regexp_extract(F.get(own, F.lit(0)), HEADING, 1)))
+        body = F.transform(own, lambda x, i: F.when((i == 0) & title.isNotNull(), title).otherwise(strip(x)))
+        return F.struct(title.alias("title"), F.filter(body, lambda x: x != "").alias("kept"), (k == 0).alias("first"))
+
+    cut = lines.withColumn("cuts", cuts)
+    every = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), section)
+    sections = cut.select("file_id", "revision", F.posexplode(F.filter(every, lambda s: F.size(s["kept"]) > 0)).alias("block_pos", "s"))
+    place = F.when(F.col("s.first"), F.lit("section:Document")).otherwise(F.concat(F.lit("section:"), F.coalesce("s.title", F.lit("Untitled"))))
+    return sections.select("file_id", "revision", "block_pos", place.alias("locator"), normalize_extracted(F.array_join("s.kept", "\n")).alias("text"))
 
 
 _LINES = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "tr"))
