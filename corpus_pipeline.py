@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a stage's result is
 written as Parquet and read again as the next one's documents. All but the last
 return the columns of the documents they got.
+
+Nulls, empty texts and repeated rows: a null or empty text has no words, so the rules
+drop it; null doc_ids, sources and languages are values like others; repeated rows are
+one text, of which one row stays; of ties the smallest doc_id stays. Empty tables give
+an empty result of the same columns. The mixture's part files are in training order.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeel.llm import bpe_codec, exact_dedup, mixing, near_dedup, quality_rules
-from lorekeel.llm.common import shared_dir, table
+from lorekeel.llm.common import delete, shared_dir, table
 from lorekeel.llm.queries import WORD_TOKENIZER, tokenizer_path
 from lorekeel.session import ship
 
@@ -59,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate results lie in the shared folder."""
+    """All stages over ``documents``; intermediate results lie in the shared folder until the next one is written."""
     ship(spark)
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -68,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if number + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{number}")
             docs = spark.read.parquet(f"{folder}/{number}")
+            if number:
+                delete(spark, f"{folder}/{number - 1}")
     return docs
