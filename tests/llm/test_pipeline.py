@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 
-from .helpers import components, normal, shingles, tokenizer
+from .helpers import DOCS, components, normal, rows, shingles, tokenizer
 
 
 def test_stages_against_brute_force(spark, smoke_dir, tmp_path):
@@ -29,3 +29,18 @@ def test_stages_against_brute_force(spark, smoke_dir, tmp_path):
     for r in kept["bpe codec"]:
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_run_over_awkward_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, ties, repeated rows, clashing names: the run equals its stages, and an empty table gives nothing."""
+    labels = "doc_id long, quality int, toxic int"
+    for name, data, known in (("some", rows(), [(i, 1, 0) for i in range(20)] + [(None, None, None)]), ("none", [], [])):
+        spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(known, labels).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}-{number}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{number}")
+        assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+        assert bool(got) == bool(data)
