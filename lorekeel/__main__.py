@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     rename.add_argument("alias")
     for name in ("status", "recover"):
         commands.add_parser(name)
-    for name in ("plan", "sync"):
+    for name in ("validate", "plan", "sync"):
         p = commands.add_parser(name)
         p.add_argument("inventory")
         if name == "sync":
@@ -68,6 +68,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         partial = engine.header()["coverage"] == "partial"
         return {"status": "PARTIAL_INDEX" if partial else "OK", "evidence": [r.asDict() for r in rows]}
     snapshot = read_inventory(spark, args.inventory)
+    if command == "validate":
+        from .operators import inventory
+
+        inventory.require_none(inventory.file_violations(snapshot.files, list(snapshot.root_ids)), "INVALID_INVENTORY")
+        return {"status": "OK", "complete": snapshot.complete} | inventory.inventory_counts(snapshot.files).first().asDict()
     if command == "plan":
         from .operators.inventory import plan_counts
 

@@ -488,10 +488,11 @@ def changed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.changed_vectors(records, live)
 
 
-@query("""SELECT a.vec_id, true AS same FROM embeddings a""")
+@query("""SELECT vec_id, vec_id % 4 <> 0 AS same FROM embeddings""")
 def vector_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", close(F.col("embedding"), F.transform("embedding", lambda x: x * F.lit(1 + 1e-7))).alias("same"))
+    moved = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 4 == 0) & (i == 1), x + 0.01).otherwise(x * F.lit(1 + 1e-7)))
+    return e.select("vec_id", close(F.col("embedding"), moved).alias("same"))
 
 
 @query("""
@@ -502,9 +503,12 @@ def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.upsert(records, fresh).select("file_id", "record_id", "document")
 
 
-@query("SELECT 'vec-' || vec_id AS file_id, 2 AS records FROM embeddings")
+@query("""
+SELECT 'vec-' || vec_id AS file_id, count(*) AS records FROM (SELECT vec_id, unnest([label % 10, (label + 1) % 10]) AS root FROM embeddings)
+WHERE vec_id % 3 <> 0 OR root < 5 GROUP BY 1""")
 def file_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.file_counts(P.index_records(P.table(spark, sf_dir, "embeddings"), roots=2))
+    records = P.index_records(P.table(spark, sf_dir, "embeddings"), roots=2)
+    return index.file_counts(records.where("vec_id % 3 <> 0 OR root_id < 'root-5'"))
 
 
 # Folders

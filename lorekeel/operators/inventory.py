@@ -7,8 +7,11 @@ set-based rounds.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import CorpusError
 from ..functions.text import rfc3339, suffixed_name
@@ -85,6 +88,43 @@ def manifest_violations(files: DataFrame) -> DataFrame:
     return files.select("file_id", F.explode(F.array_compact(rules)).alias("violation"))
 
 
+def key_violations(raw: DataFrame, shape: T.StructType, column: str = "value") -> DataFrame:
+    """(place, violation) of JSON objects whose keys are not exactly those of ``shape``, in objects of its arrays too.
+
+    Missing and unexpected keys are named. A level's objects are looked at as text, so
+    a key that the declared schema does not know is seen and not dropped.
+    """
+    found = []
+
+    def look(objects: DataFrame, fields: T.StructType, place: str) -> None:
+        wanted, keys = F.array(*[F.lit(n) for n in fields.fieldNames()]), F.json_object_keys("o")
+        named = lambda what, some: F.when(F.size(some) > 0, F.concat(F.lit(f"{what} keys: "), F.array_join(F.array_sort(some), ", ")))
+        rules = F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(named("missing", F.array_except(wanted, keys)), named("unexpected", F.array_except(keys, wanted)))))
+        found.append(objects.select(F.lit(place).alias("place"), F.explode(rules).alias("violation")))
+        for field in fields:
+            if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
+                items = F.from_json("o", f"struct<`{field.name}`:array<string>>")[field.name]
+                look(objects.select(F.explode(items).alias("o")), field.dataType.elementType, f"{place}.{field.name}")
+
+    look(raw.select(F.col(column).alias("o")), shape, "inventory")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def header_violations(heads: DataFrame) -> DataFrame:
+    """(run_id, violation) of snapshot headers (run_id, complete, root_ids, generated_at, incomplete_reason)."""
+    c = F.col
+    rules = F.array(
+        F.when(_blank(c("run_id")), "run_id_blank"),
+        F.when(c("complete").isNull(), "complete_missing"),
+        F.when(rfc3339(c("generated_at")).isNull(), "generated_at_malformed"),
+        F.when(c("root_ids").isNull() | F.exists("root_ids", lambda r: _blank(r) | r.rlike(CONTROL)), "root_id_malformed"),
+        F.when(F.size(F.array_distinct("root_ids")) != F.size("root_ids"), "root_id_repeated"),
+        F.when(c("complete") & c("incomplete_reason").isNotNull(), "complete_with_reason"),
+        F.when(~c("complete") & _blank(c("incomplete_reason")), "incomplete_without_reason"),
+    )
+    return heads.select("run_id", F.explode(F.array_compact(rules)).alias("violation"))
+
+
 def require_none(violations: DataFrame, code: str) -> None:
     """Stop with a typed error that names a few violations, if there are any."""
     if some := violations.limit(5).collect():

@@ -8,23 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import inventory
 from ..plans.sync import Snapshot, SyncEngine
-from ..schemas import INVENTORY
+from ..schemas import INVENTORY, SCHEMA_VERSION
 
 
 def read_inventory(spark: SparkSession, path: str) -> Snapshot:
     """A strict scan of one inventory file: declared schema, no stray keys, no malformed rows."""
-    from ..errors import CorpusError
-
     raw = spark.read.text(path, wholetext=True)
-    keys = F.json_object_keys("value")
-    stray = raw.where(keys.isNull() | (F.array_sort(keys) != F.array_sort(F.array(*[F.lit(n) for n in INVENTORY.fieldNames()]))))
-    if not stray.isEmpty():
-        raise CorpusError("an inventory has exactly the declared fields", "INVALID_INVENTORY")
+    inventory.require_none(inventory.key_violations(raw, INVENTORY), "INVALID_INVENTORY")
     return _snapshots(spark.read.schema(INVENTORY).option("multiLine", True).option("mode", "FAILFAST").json(path))[0]
 
 
 def _snapshots(rows: DataFrame) -> list[Snapshot]:
+    known = F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))
+    inventory.require_none(rows.where(~known).select("run_id", F.lit("another schema version")), "UNSUPPORTED_SCHEMA")
+    inventory.require_none(inventory.header_violations(rows), "INVALID_INVENTORY")
     heads = rows.select("schema_version", "run_id", "complete", "root_ids", "generated_at", "incomplete_reason").orderBy("generated_at").collect()
     out = []
     for h in heads:
