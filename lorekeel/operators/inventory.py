@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import CorpusError
 from ..functions.text import rfc3339, suffixed_name
+from ..session import settled
 
 #: The MIME form, native types and their kinds, and where a file's address leads.
 MIME = "^[A-Za-z0-9][A-Za-z0-9!#$%&'*+.^_`|~-]*/[A-Za-z0-9][A-Za-z0-9!#$%&'*+.^_`|~-]*$"
@@ -184,13 +185,13 @@ def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count("*").alias("files"))
 
 
-def resolve_collisions(paths: DataFrame, rounds: int = 8, rename=None) -> DataFrame:
+def resolve_collisions(paths: DataFrame, rename=None) -> DataFrame:
     """(file_id, root_id, parts, target_parts): every target of a root belongs to one file.
 
     ``paths`` has file_id, root_id, parts. Files that share a place get a suffix of
     their id before the extension; should that meet another file's name, that one
-    gets its own too, and so on until nothing collides. A round is one window over
-    the targets. Two targets of one file that fall together are an error. ``rename``
+    gets its own too, and so on until nothing collides: every round suffixes a file
+    more, so there is an end. A round is one window over the targets. Two targets of one file that fall together are an error. ``rename``
     maps a part before it is placed (the rendered names of native files).
     """
     last = F.element_at("parts", -1)
@@ -200,7 +201,7 @@ def resolve_collisions(paths: DataFrame, rounds: int = 8, rename=None) -> DataFr
     with_suffix = place(suffixed_name(F.col("plain"), F.col("file_id")))
     now = base.withColumn("target_parts", place(F.col("plain"))).withColumn("suffixed", F.lit(False))
     at = Window.partitionBy("root_id", "target_parts")
-    for _ in range(rounds):
+    while True:
         seen = now.withColumn("lowest", F.min("file_id").over(at)).withColumn("highest", F.max("file_id").over(at)).withColumn("n", F.count("*").over(at))
         seen = seen.withColumn("clash", F.col("n") > 1)
         state = seen.agg(
@@ -212,13 +213,12 @@ def resolve_collisions(paths: DataFrame, rounds: int = 8, rename=None) -> DataFr
             return now.select("file_id", "root_id", "parts", "target_parts")
         if state["own"] or not state["open"]:
             raise CorpusError("names still collide after suffixing", "INVALID_INVENTORY")
-        now = seen.select(
+        moved = seen.select(
             *[c for c in now.columns if c not in ("target_parts", "suffixed")],
             F.when(F.col("clash"), with_suffix).otherwise(F.col("target_parts")).alias("target_parts"),
             (F.col("suffixed") | F.col("clash")).alias("suffixed"),
         )
-        now = now.checkpoint() if paths.sparkSession.sparkContext.getCheckpointDir() else now
-    raise CorpusError("names still collide after the last round", "INVALID_INVENTORY")
+        now = settled(moved)
 
 
 def first_collision_names(paths: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import CorpusError
 from ..functions.text import alias_key, canonical_alias
 from ..schemas import FOLDERS, SCHEMA_VERSION
+from ..session import settled
 from .storage import Storage
 
 #: Fixed value: the host of folder addresses.
@@ -27,9 +28,7 @@ def traverse(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     seen = level
     for depth in range(1, most + 1):
         below = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        level = below.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            level = level.checkpoint()
+        level = settled(below.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
