@@ -11,7 +11,8 @@ The threshold is no constant: few trusted documents give ratios near 0, many giv
 steeper ones. The trusted documents are therefore cut into ``FOLDS`` folds, each scored
 with the ratios of the others, and the threshold lies below what such held-out good
 documents reach. So the share of good documents that is lost stays the same, however
-many labels there are; with few labels less junk is told from them.
+many labels there are; with few labels less junk is told from them. Target and
+threshold are of all trusted documents; nothing is sampled.
 """
 
 from __future__ import annotations
@@ -25,14 +26,14 @@ from .common import WORD, cut, whole_text, words_of
 
 #: Hash buckets of the n-grams; the table of ratios has this fixed size.
 BUCKETS = 1 << 16
-#: The trusted target is fitted on at most this many labelled documents.
-TRUSTED_MOST = 20_000
+#: At most so many labelled documents are broadcast; beyond, they are joined.
+BROADCAST_ROWS = 1_000_000
 #: Pseudo-count: a bucket seen this often by expectation moves half-way to its measured ratio.
 PSEUDO = 8.0
 #: Ratios are kept as whole numbers of 1/UNITS.
 UNITS = 1000
-#: Parts of the trusted documents; each is held out once. At most so many of them are scored for the threshold.
-FOLDS, HELD_OUT_MOST = 5, 4_000
+#: Parts of the trusted documents; each is held out once.
+FOLDS = 5
 #: The threshold: this quantile of the held-out scores of trusted documents, and this many standard deviations below their mean, whichever is lower.
 LOST, DEVIATIONS = 0.001, 3.0
 #: Words from which a document counts (a base rule), also in the calibration.
@@ -86,14 +87,26 @@ def base_counts(frame: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
-    """At most ``most`` doc_ids labelled good, picked by hash; the bound allows a broadcast."""
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """The distinct doc_ids labelled good; ``most`` bounds them for a caller that wants fewer, picked by hash."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id"))
+    if most is None:
+        return good.distinct()
     share = min(1.0, most / max(1, good.count()))
     picked = good.where(F.pmod(F.xxhash64("trusted_id"), F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))).distinct()
     return picked.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
 
 
+def folds_of(frame: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """``frame`` (id, ...) with the fold of its trusted documents, null for others; ``how`` is left or inner."""
+    same = F.col("id") == F.col("trusted_id")
+    if known.count() <= BROADCAST_ROWS:
+        return frame.join(F.broadcast(known), same, how).drop("trusted_id")
+    met = frame.where("id is not null").join(known, same, how).drop("trusted_id")
+    # null ids are never trusted; they stay out of the exchange, where they would meet in one task
+    return met if how == "inner" else met.unionByName(frame.where("id is null").withColumn("fold", F.lit(None).cast("int")))
+
+
 def ratio_tables(frame: DataFrame, known: DataFrame) -> DataFrame:
     """bucket, ratios: smoothed log ratios in 1/UNITS, of all trusted documents, then of all but each fold.
 
@@ -101,7 +114,7 @@ def ratio_tables(frame: DataFrame, known: DataFrame) -> DataFrame:
     ratio = ln((target count + k) / (target count expected from the raw share + k)).
     Without trusted documents or without words all ratios are 0.
     """
-    grams = frame.join(F.broadcast(known), F.col("id") == F.col("trusted_id"), "left").select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
+    grams = folds_of(frame, known, "left").select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     targets = ("t", *[f"t{k}" for k in range(FOLDS)])
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("fold").alias("t"), *[F.count_if(F.col("fold") != k).alias(f"t{k}") for k in range(FOLDS)]), narrow=True)
     sums = F.broadcast(counts.agg(F.sum("raw").alias("all_raw"), *[F.sum(t).alias(f"all_{t}") for t in targets]))
@@ -124,21 +137,28 @@ def mean_ratio(hashes: Column, table: list[int]) -> Column:
     return F.when(F.size(hashes) > 0, total / ((2 * F.size(hashes) - 1) * UNITS)).otherwise(F.lit(0.0))
 
 
-def held_out_threshold(frame: DataFrame, known: DataFrame, ratios: DataFrame, most: int = HELD_OUT_MOST) -> float:
-    """The threshold from trusted documents of ``frame`` (id, text), each scored with the other folds' ratios.
+def held_out_threshold(frame: DataFrame, known: DataFrame, ratios: DataFrame) -> float:
+    """The threshold from all trusted documents of ``frame`` (id, text), each scored with the other folds' ratios.
 
-    Without two scores there is nothing to go by, and no document is rejected.
+    The quantile is interpolated between two scores, found by sorting as many of the
+    lowest as lie below it. Without two scores there is nothing to go by, and no
+    document is rejected.
     """
-    some = F.broadcast(known.orderBy(F.xxhash64(F.lit("held out"), "trusted_id"), "trusted_id").limit(most))
-    met = frame.join(some, F.col("id") == F.col("trusted_id")).select(F.monotonically_increasing_id().alias("row"), "fold", word_hashes(words_of(F.col("text"))).alias("hashes"))
+    met = folds_of(frame, known, "inner").select(F.monotonically_increasing_id().alias("row"), "fold", word_hashes(words_of(F.col("text"))).alias("hashes"))
     grams = met.where(F.size("hashes") >= FEWEST_WORDS).select("row", "fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
-    scores = grams.join(F.broadcast(ratios), "bucket").groupBy("row").agg((F.avg(F.get("ratios", F.col("fold") + 1)) / UNITS).alias("score"))
-    low = scores.agg(F.least(F.percentile("score", F.lit(LOST)), F.avg("score") - DEVIATIONS * F.stddev("score")).alias("t"), F.count("*").alias("n")).first()
-    return low["t"] if low["n"] > 1 else -math.inf
+    scores = cut(grams.join(F.broadcast(ratios), "bucket").groupBy("row").agg((F.avg(F.get("ratios", F.col("fold") + 1)) / UNITS).alias("score")).select("score"), narrow=True)
+    whole = scores.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev("score").alias("deviation")).first()
+    if whole["n"] < 2:
+        return -math.inf
+    place = (whole["n"] - 1) * LOST
+    lowest = scores.orderBy("score").limit(int(place) + 2)
+    near = [r["score"] for r in lowest.orderBy(F.desc("score")).limit(2).collect()]  # the two scores about the quantile, the higher first
+    quantile = near[1] + (place - int(place)) * (near[0] - near[1])
+    return min(quantile, whole["mean"] - DEVIATIONS * whole["deviation"])
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float | None = None, most: int = TRUSTED_MOST
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float | None = None, most: int | None = None
 ) -> DataFrame:
     """One row per input row: box (its columns as a struct), id, the base columns, score, kept.
 

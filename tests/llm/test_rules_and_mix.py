@@ -89,6 +89,28 @@ def test_scores_and_verdicts_against_brute_force(spark, smoke_dir):
     assert any(not r["kept"] and not r["base_failed"] for r in got)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 10])
+def test_target_and_threshold_are_of_all_trusted_documents(spark, monkeypatch, most):
+    """More trusted documents than the 4000 that once made the threshold; broadcast, and joined beside null ids."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", most, raising=False)
+    rng = random.Random(17)
+    names = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(names[: rng.randint(40, 400)], k=rng.randint(48, 56))) for _ in range(4600)]
+    trusted = list(range(4500))
+    folds = {i: spark_hash(i, spark_hash("fold")) % quality_rules.FOLDS for i in trusted}
+    want = brute_scores(texts, trusted, folds)[1]
+    docs = spark.createDataFrame([(i if i < 4550 else None, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    known = quality_rules.trusted_ids(spark.createDataFrame([(i, 1, 0) for i in trusted], LABELS))
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "trusted_id"), F.lit(quality_rules.FOLDS)))
+    ratios = quality_rules.ratio_tables(docs.select("id", quality_rules.word_hashes(quality_rules.words_of(F.col("text"))).alias("hashes")), known)
+    assert quality_rules.held_out_threshold(docs, known, ratios) == pytest.approx(want, abs=1e-6)
+
+
+def test_every_label_is_used(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20_500)] + [(7, 1, 1), (None, 1, 0), (90_000, 0, 0)], LABELS)
+    assert {r[0] for r in quality_rules.trusted_ids(labels).collect()} == set(range(20_500))
+
+
 def test_threshold_follows_the_number_of_labels(spark, smoke_dir):
     """Few labels must not cost good documents."""
     folder = smoke_dir.replace("sf0.001", "sf0.01")
