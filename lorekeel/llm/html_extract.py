@@ -3,8 +3,8 @@
 A parser cuts a page into blocks. Elements that are no article text by their name, role
 or class are marked and go. Of the rest, the article with the most text (or else the
 text in ``<main>``) is the page's own if it holds a fair share of the unmarked text; it
-is kept as it is, repeated or not. What remains undecided are further articles
-(teasers), and all unmarked text of pages without such a part. The host's own pages
+is kept as it is, repeated or not. All other unmarked text remains undecided, beside
+such a part as on pages without one. The host's own pages
 decide it: their token streams, less the kept parts, are concatenated, substrings of at
 least ``LEAST`` tokens that are on ``PAGES`` distinct pages or more are boilerplate, the
 covered tokens are cut out wherever they lie in a block, and the unique runs stay.
@@ -47,7 +47,7 @@ BROADCAST_ROWS = 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no article text.
 MARKED = frozenset(
-    "script style noscript template head nav footer aside form button select option textarea iframe svg canvas object audio video dialog menu".split()
+    "script style noscript template head title nav footer aside form button select option textarea iframe svg canvas object audio video dialog menu".split()
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -100,8 +100,9 @@ class _Blocks(HTMLParser):
             self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body" and self.stack and any(t == "head" for t, _ in self.stack):
-            self.handle_endtag("head")  # a head that was never closed
+        for open_ in ("head", "title") if tag == "body" else ():
+            if any(t == open_ for t, _ in self.stack):
+                self.handle_endtag(open_)  # one that was never closed
         if tag not in INLINE:
             self.flush()
         if tag in VOID:
@@ -161,8 +162,8 @@ def page_blocks(html: str) -> list[tuple[str, str]]:
     def state(place: str) -> str:
         if place == own:
             return "kept"
-        # beside the page's own text only further articles may belong to it
-        return "open" if place != "marked" and (own is None or place.startswith("article")) else "gone"
+        # unmarked text beside the page's own may belong to it: only the repeats tell
+        return "gone" if place == "marked" else "open"
 
     return [(state(p), t) for p, t in parser.blocks]
 

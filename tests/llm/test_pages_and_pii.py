@@ -259,6 +259,20 @@ def test_a_teaser_article_does_not_displace_the_story(spark):
     assert got["text"].startswith(story)
 
 
+def test_unmarked_text_beside_the_article_is_decided_by_repeats(spark):
+    """Unique runs beside an article or main element stay in page order; what the host repeats goes."""
+    rng = random.Random(23)
+    notice = "we keep small files to remember what you have read on these pages"
+    data, want = [], {}
+    for i in range(12):
+        lead, story, rest = prose(rng, 12), prose(rng, 60), prose(rng, 70)
+        inner = (f"<article>{story}</article>", f"<main>{story}</main>", f"<main><h1>Top {i}</h1><article>{story}</article></main>")[i % 3]
+        data.append(page(i, f"<title>Tab {i}</title><body><div>{lead}</div>{inner}<div>{rest} {notice}</div><nav>menu {i}</nav></body>"))
+        want[i] = " ".join([lead, *([f"Top {i}"] if i % 3 == 2 else []), story, rest])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(data, PAGES)).collect()}
+    assert got == want
+
+
 def test_windows_do_not_depend_on_shards(spark):
     rng = random.Random(13)
     texts = [f"{prose(rng, 5)} {rng.choice(('a b c d e f g h', 'q w e r t z u i'))}" for _ in range(60)]
