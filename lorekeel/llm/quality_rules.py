@@ -28,6 +28,8 @@ from .common import WORD, cut, whole_text, words_of
 BUCKETS = 1 << 16
 #: At most so many labelled documents are broadcast; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
+#: Beyond, so many slots of 64 bits are broadcast; a document whose hash has no bit there is not trusted and is not exchanged.
+SLOTS = 1 << 20
 #: Pseudo-count: a bucket seen this often by expectation moves half-way to its measured ratio.
 PSEUDO = 8.0
 #: Ratios are kept as whole numbers of 1/UNITS.
@@ -97,24 +99,46 @@ def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
     return picked.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
 
 
+def bit_of(key: Column) -> tuple[Column, Column]:
+    """The slot of a key and its bit in it."""
+    h = F.xxhash64(key)
+    return F.pmod(h, F.lit(SLOTS)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+
+def split_by_bits(frame: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``frame`` (id, ...) in two: rows that may be trusted (all that are, and few others), and rows that are not."""
+    sure = F.col("id").isNotNull()  # null ids are never trusted; in an exchange they would meet in one task
+    if frame.schema["id"].dataType != known.schema["trusted_id"].dataType:  # equal keys of two types have two hashes
+        return frame.where(sure), frame.where(~sure)
+    slot, bit = bit_of(F.col("trusted_id"))
+    bits = cut(known.groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), narrow=True)
+    slot, bit = bit_of(F.col("id"))
+    marked = frame.join(F.broadcast(bits), slot == F.col("slot"), "left")
+    maybe = sure & F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    return marked.where(maybe).drop("slot", "bits"), marked.where(~maybe).drop("slot", "bits")
+
+
 def folds_of(frame: DataFrame, known: DataFrame, how: str) -> DataFrame:
     """``frame`` (id, ...) with the fold of its trusted documents, null for others; ``how`` is left or inner."""
     same = F.col("id") == F.col("trusted_id")
     if known.count() <= BROADCAST_ROWS:
         return frame.join(F.broadcast(known), same, how).drop("trusted_id")
-    met = frame.where("id is not null").join(known, same, how).drop("trusted_id")
-    # null ids are never trusted; they stay out of the exchange, where they would meet in one task
-    return met if how == "inner" else met.unionByName(frame.where("id is null").withColumn("fold", F.lit(None).cast("int")))
+    near, far = split_by_bits(frame, known)
+    met = near.join(known, same, how).drop("trusted_id")
+    return met if how == "inner" else met.unionByName(far.withColumn("fold", F.lit(None).cast("int")))
 
 
 def ratio_tables(frame: DataFrame, known: DataFrame) -> DataFrame:
     """bucket, ratios: smoothed log ratios in 1/UNITS, of all trusted documents, then of all but each fold.
 
-    ``frame`` has (id, hashes) of all documents, ``known`` (trusted_id, fold).
+    ``frame`` has (id, hashes) or (id, text) of all documents, ``known`` (trusted_id,
+    fold). Texts are hashed after the trusted ones are known, so that no hashes are exchanged.
     ratio = ln((target count + k) / (target count expected from the raw share + k)).
     Without trusted documents or without words all ratios are 0.
     """
-    grams = folds_of(frame, known, "left").select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
+    hashes = F.col("hashes") if "hashes" in frame.columns else word_hashes(words_of(F.col("text")))
+    met = folds_of(frame, known, "left").select("fold", hashes.alias("hashes"))
+    grams = met.select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     targets = ("t", *[f"t{k}" for k in range(FOLDS)])
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("fold").alias("t"), *[F.count_if(F.col("fold") != k).alias(f"t{k}") for k in range(FOLDS)]), narrow=True)
     sums = F.broadcast(counts.agg(F.sum("raw").alias("all_raw"), *[F.sum(t).alias(f"all_{t}") for t in targets]))
@@ -144,6 +168,7 @@ def held_out_threshold(frame: DataFrame, known: DataFrame, ratios: DataFrame) ->
     lowest as lie below it. Without two scores there is nothing to go by, and no
     document is rejected.
     """
+    # numbered above the join: below it, Spark would move the filter on the words there too and hash every text again
     met = folds_of(frame, known, "inner").select(F.monotonically_increasing_id().alias("row"), "fold", word_hashes(words_of(F.col("text"))).alias("hashes"))
     grams = met.where(F.size("hashes") >= FEWEST_WORDS).select("row", "fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
     scores = cut(grams.join(F.broadcast(ratios), "bucket").groupBy("row").agg((F.avg(F.get("ratios", F.col("fold") + 1)) / UNITS).alias("score")).select("score"), narrow=True)
@@ -169,7 +194,7 @@ def quality_scores(
     bare = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("box"), F.col(doc_id).alias("id"), whole_text(text).alias("text"))
     frame = bare.withColumn("hashes", word_hashes(words_of(F.col("text"))))
     known = cut(trusted_ids(labels, most).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "trusted_id"), F.lit(FOLDS))))
-    ratios = ratio_tables(frame.select("id", "hashes"), known)
+    ratios = ratio_tables(bare.select("id", "text"), known)
     if threshold is None:
         threshold = held_out_threshold(bare.select("id", "text"), known, ratios)
     table = [r["ratio"] for r in ratios.select("bucket", F.col("ratios")[0].alias("ratio")).orderBy("bucket").collect()]  # BUCKETS rows

@@ -1,11 +1,15 @@
 import hashlib
+import random
 from collections import Counter
 
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lorekeel.llm import quality_rules
 
 from .helpers import DOCS, components, normal, rows, shingles, tokenizer
+from .test_rules_and_mix import brute_scores, spark_hash
 
 
 def test_stages_against_brute_force(spark, smoke_dir, tmp_path):
@@ -44,3 +48,20 @@ def test_run_over_awkward_rows_and_empty_tables(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{name}-{number}")
         assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
         assert bool(got) == bool(data)
+
+
+def test_threshold_of_the_quality_stage_is_of_all_trusted_documents(spark, tmp_path, monkeypatch):
+    """The stage is given no bound: its threshold is that of all 4500 labels, and its verdicts follow it."""
+    rng = random.Random(23)
+    names = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(names[: rng.randint(40, 400)], k=rng.randint(50, 56))) for _ in range(4600)]
+    trusted = list(range(4500))
+    scores, want = brute_scores(texts, trusted, {i: spark_hash(i, spark_hash("fold")) % quality_rules.FOLDS for i in trusted})
+    spark.createDataFrame([(i, t, *[None] * 7) for i, t in enumerate(texts)], DOCS).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in trusted], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found, made = [], quality_rules.held_out_threshold
+    monkeypatch.setattr(quality_rules, "held_out_threshold", lambda *given: found.append(made(*given)) or found[-1])
+    kept = {r["doc_id"] for r in corpus_pipeline.quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert found == [pytest.approx(want, abs=1e-6)]
+    for i, score in enumerate(scores):  # a ratio that lies between two whole numbers may be rounded either way
+        assert (i in kept) == (score >= want) or abs(score - want) < 1e-4

@@ -106,6 +106,24 @@ def test_target_and_threshold_are_of_all_trusted_documents(spark, monkeypatch, m
     assert quality_rules.held_out_threshold(docs, known, ratios) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("slots", [1, 1 << 20])
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_joined_folds_against_brute_force(spark, monkeypatch, slots, kind):
+    """Beyond the bound of the broadcast, only documents that may be trusted are exchanged, and each row keeps its fold."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(quality_rules, "SLOTS", slots)
+    ids = [*range(-1000, 4000), *range(50), *[None] * 100]
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], f"id {kind}, text string").repartition(4)
+    known = spark.createDataFrame([(i, abs(i) % 5) for i in range(-40, 9000, 40)], "trusted_id long, fold int")
+    want = [(i, f"t{n}", abs(i) % 5 if i is not None and i % 40 == 0 and i >= -40 else None) for n, i in enumerate(ids)]
+    for how in ("left", "inner"):
+        got = [tuple(r) for r in quality_rules.folds_of(docs, known, how).select("id", "text", "fold").collect()]
+        assert sorted(got, key=str) == sorted([w for w in want if how == "left" or w[2] is not None], key=str)
+    near, far = quality_rules.split_by_bits(docs, known)
+    assert near.count() + far.count() == len(ids) and near.where("id is null").count() == 0
+    assert kind == "int" or slots == 1 or near.count() <= 2 * sum(w[2] is not None for w in want)
+
+
 def test_every_label_is_used(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20_500)] + [(7, 1, 1), (None, 1, 0), (90_000, 0, 0)], LABELS)
     assert {r[0] for r in quality_rules.trusted_ids(labels).collect()} == set(range(20_500))
