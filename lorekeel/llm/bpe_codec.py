@@ -85,7 +85,7 @@ class Codec:
 
             level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0x21, 0x7F), *range(0xC0, 0x100))}
-            self.bare = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            self.part_model = self.end_part.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.strings = [self.tokenizer.id_to_token(i) for i in range(max(size, top))]
@@ -154,16 +154,16 @@ class Codec:
         lower = pc.utf8_lower(pa.array(texts, pa.string()))
         parts = pc.split_pattern(pc.replace_substring_regex(lower, pattern=_NO_LETTERS, replacement=r" \1 "), " ")
         coded = parts.values.dictionary_encode()
-        own, slot = coded.dictionary.to_pylist(), self.part_slot
+        own, slot = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.part_slot  # to_pylist makes a scalar of each
         found_at = np.fromiter(map(slot.get, own, itertools.repeat(-1)), np.int64, len(own))
         missing = np.flatnonzero(found_at < 0).tolist()
         new = [own[i] for i in missing]
         short = [p for p in new if p and len(p) <= self.leaf]
         for at in range(0, len(short), 1000):
             some = short[at : at + 1000]
-            found = self.bare.encode(" ".join([p if p.isascii() else p.translate(self.bytes) for p in some]), add_special_tokens=False)
-            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
-            self._store(some, counts, np.array(found.ids, np.int32), slot)
+            found = [[t.id for t in self.part_model.tokenize(p if p.isascii() else p.translate(self.bytes))] for p in some]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self._store(some, counts, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum())), slot)
         for p in new:
             if p not in slot:
                 ids = np.array(self.encode_part(p.translate(self.bytes)) if p else [], np.int32)
@@ -196,7 +196,7 @@ class Codec:
         if not self.by_word:
             return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[np.ndarray] = []
-        for group in _groups(texts):
+        for group in grouped(texts):
             if len(group) == 1 and len(group[0]) > PIECE:
                 parts = [self.encode_words(_words(p))[0] for p in _pieces(group[0])]
                 out.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
@@ -290,9 +290,9 @@ def _split(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [ids[a:b] for a, b in itertools.pairwise(stops)]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in runs of about PIECE characters; a longer text is a run of its own."""
-    group: list[str] = []
+def grouped(texts: list) -> Iterator[list]:
+    """The texts (or arrays of ids) in runs of about PIECE characters (ids); a longer one is a run of its own."""
+    group: list = []
     size = 0
     for t in texts:
         if group and size + len(t) > PIECE:

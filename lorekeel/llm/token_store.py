@@ -22,7 +22,9 @@ Ids of one chunk are little-endian unsigned 16-bit integers where all fit, else
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections import OrderedDict
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_codec import Codec, batches
+from .bpe_codec import Codec, batches, grouped
 from .common import shared_dir, whole_text
 
 #: A chunk ends where the high bits of the rolling hash are 0: 512 ids on average.
@@ -61,27 +63,37 @@ def _gears(ids: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def cut_points(ids: np.ndarray, cut_bits: int = CUT_BITS, longest: int = LONGEST) -> list[int]:
-    """Ends of the chunks of one id stream; the last is its length."""
-    rolled = _gears(ids)
+@functools.cache
+def _gear_table() -> np.ndarray:
+    return _gears(np.arange(1 << 16))
+
+
+def cut_streams(ids: np.ndarray, stops: np.ndarray, cut_bits: int = CUT_BITS, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the chunks of id streams that lie one behind the other, each to its stop.
+
+    The rolling hash of a stream does not see the one before it.
+    """
+    rolled = _gear_table()[ids] if ids.max(initial=0) < 1 << 16 else _gears(ids)
     width = 1
     while width < SPAN:  # h[i] = sum of 3**j * gear[i - j] over the last SPAN ids, by doubling
         more = rolled.copy()
         with np.errstate(over="ignore"):
             more[width:] += rolled[:-width] * np.uint64(pow(3, width, 1 << 64))
+        heads = (stops[:-1, None] + np.arange(width)).ravel()
+        heads = heads[heads < np.repeat(stops[1:], width)]
+        more[heads] = rolled[heads]
         rolled, width = more, width * 2
-    ends = (np.flatnonzero((rolled >> np.uint64(64 - cut_bits)) == 0) + 1).tolist()
-    if not ends or ends[-1] != len(ids):
-        ends.append(len(ids))
-    out, last = [], 0
-    for end in ends:
-        while end - last > longest:
-            last += longest
-            out.append(last)
-        if end > last:
-            out.append(end)
-            last = end
-    return out
+    ends = np.union1d(np.flatnonzero((rolled >> np.uint64(64 - cut_bits)) == 0) + 1, stops)
+    ends = ends[ends > 0]
+    begins = np.concatenate(([0], ends))[:-1].astype(np.int64)
+    pieces = -(-(ends - begins) // longest)
+    begins = np.repeat(begins, pieces) + longest * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return begins, np.minimum(begins + longest, np.repeat(ends, pieces))
+
+
+def cut_points(ids: np.ndarray, cut_bits: int = CUT_BITS, longest: int = LONGEST) -> list[int]:
+    """Ends of the chunks of one id stream; the last is its length."""
+    return cut_streams(ids, np.array([len(ids)]), cut_bits, longest)[1].tolist()
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -104,6 +116,33 @@ def chunk_leaf(at: int, n: int, digest: bytes) -> bytes:
     return hashlib.sha256(b"\x00%d:%d:" % (at, n) + digest).digest()
 
 
+def chunk_streams(streams: list[np.ndarray], end_id: int) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
+    """The chunks (at, n, digest, bytes) of each of the id streams with ``end_id`` behind it, all cut at once."""
+    ids = np.concatenate([x for s in streams for x in (s, [end_id])]).astype(np.int32)
+    stops = np.cumsum([len(s) + 1 for s in streams])
+    begins, ends = cut_streams(ids, stops)
+    shared = packed(ids) if ids.max() < 1 << 16 else None
+    owner = np.searchsorted(stops, ends)
+    at = (begins - np.concatenate(([0], stops))[owner]).tolist()
+    places = itertools.pairwise(np.searchsorted(owner, np.arange(len(streams) + 1)).tolist())
+    begins, ends = begins.tolist(), ends.tolist()
+    for first, last in places:
+        out = []
+        for i in range(first, last):
+            begin, end = begins[i], ends[i]
+            body = shared[2 * begin : 2 * end] if shared is not None else packed(ids[begin:end])
+            out.append((at[i], end - begin, hashlib.sha256(body).digest(), body))
+        yield out
+
+
+def _lists(column: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
+    """The named fields of each list of structs."""
+    flat = column.flatten()
+    rows = list(zip(*[flat.field(f).to_numpy(zero_copy_only=False).tolist() for f in fields], strict=True))
+    for begin, end in itertools.pairwise(np.concatenate(([0], np.cumsum(np.diff(column.offsets.to_numpy())))).tolist()):
+        yield rows[begin:end]
+
+
 def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) -> DataFrame:
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("ord"), whole_text(text).alias("text"))
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
@@ -113,12 +152,9 @@ def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) ->
         for part in parts:
             for rows, texts in batches(part, "text"):
                 out: list[tuple] = []
-                for number, order, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), codec.encode_all(texts), strict=True):
-                    ids, begin, chunks = np.append(found, np.int32(end_id)), 0, []
-                    for end in cut_points(ids):
-                        body = packed(ids[begin:end])
-                        chunks.append((begin, end - begin, hashlib.sha256(body).digest(), body))
-                        begin = end
+                found = itertools.chain.from_iterable(chunk_streams(some, end_id) for some in grouped(codec.encode_all(texts)))
+                for number, order, chunks in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), found, strict=True):
+                    n_tokens = chunks[-1][0] + chunks[-1][1]
                     root = merkle_root([chunk_leaf(at, n, digest) for at, n, digest, _ in chunks])
                     for seq, (at, n, digest, body) in enumerate(chunks):
                         if new := digest not in sent:
@@ -127,7 +163,7 @@ def _chunked(docs: DataFrame, path: str, text: str, doc_id: str, end_id: int) ->
                                 sent.popitem(last=False)
                         # bytes meet by address; an occurrence without them goes anywhere
                         slot = digest if new else hashlib.blake2b(b"%d:%d" % (order, seq), digest_size=8).digest()
-                        out.append((number, order, seq, at, n, len(ids) if seq == 0 else None, root if seq == 0 else None, digest, body if new else None, slot))
+                        out.append((number, order, seq, at, n, n_tokens if seq == 0 else None, root if seq == 0 else None, digest, body if new else None, slot))
                 columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64()] + [pa.binary()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -181,7 +217,7 @@ def part_roots(recipes: DataFrame) -> DataFrame:
 
     def rooted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            roots = [merkle_root([x["leaf"] for x in leaves]) for leaves in part.column(3).to_pylist()]
+            roots = [merkle_root([x for x, in leaves]) for leaves in _lists(part.column(3), "leaf")]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in part.column(3)], pa.int64()), pa.array(roots, pa.binary())], ["part", "block", "tokens", "docs", "root"])
 
     tops = each.select("part", "block", "tokens", F.col("leaves")).mapInArrow(rooted, "part long, block long, tokens long, docs long, root binary")
@@ -189,7 +225,7 @@ def part_roots(recipes: DataFrame) -> DataFrame:
 
     def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            roots = [merkle_root([x["root"] for x in blocks]) for blocks in part.column(3).to_pylist()]
+            roots = [merkle_root([x for x, in blocks]) for blocks in _lists(part.column(3), "root")]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(roots, pa.binary())], ["part", "docs", "tokens", "root"])
 
     return whole.mapInArrow(joined, "part long, docs long, tokens long, root binary")
@@ -228,7 +264,7 @@ def proved_manifest(spark: SparkSession, store: str) -> DataFrame:
     return met.select(F.coalesce("m.part", "f.part").alias("part"), sure.alias("start"))
 
 
-#: x ** (8 * 2 ** k) modulo the CRC-32 polynomial (reflected), for shifting a checksum over zero bytes.
+#: The polynomial of CRC-32, reflected.
 _CRC_POLY = 0xEDB88320
 
 
@@ -241,19 +277,31 @@ def _crc_multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _shift(k: int) -> np.ndarray:
+    """x ** (8 * 2 ** k), a shift over 2 ** k zero bytes."""
+    return _crc_multiply(_shift(k - 1), _shift(k - 1)) if k else np.array([1 << 23], np.uint64)
+
+
+@functools.cache
+def _shift_table(k: int) -> np.ndarray:
+    """Products of that shift with each value of a checksum's byte 0 to 3."""
+    values = np.arange(256, dtype=np.uint64) << np.arange(0, 32, 8, dtype=np.uint64)[:, None]
+    return _crc_multiply(values, np.full(values.shape, _shift(k)[0]))
+
+
 def crc_shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     """What checksums contribute to that of a stream with ``after`` more bytes behind them."""
-    power, out, rest = np.uint64(1 << 23), crc.astype(np.uint64), after.astype(np.uint64)  # x ** 8
+    out, rest, k = crc.astype(np.uint64), after.astype(np.uint64), 0
     while rest.any():
-        odd = (rest & np.uint64(1)).astype(bool)
-        if odd.any():
-            out[odd] = _crc_multiply(out[odd], np.full(int(odd.sum()), power))
-        power, rest = _crc_multiply(np.array([power]), np.array([power]))[0], rest >> np.uint64(1)
+        odd = np.flatnonzero(rest & np.uint64(1))
+        if len(odd):
+            some, table = out[odd], _shift_table(k)
+            out[odd] = np.bitwise_xor.reduce([table[i][((some >> np.uint64(8 * i)) & np.uint64(255)).astype(np.intp)] for i in range(4)])
+        rest, k = rest >> np.uint64(1), k + 1
     return out
 
 
-
-
 def chunk_table(spark: SparkSession, store: str) -> DataFrame:
     """The rows of chunks/, with their declared types."""
     return spark.read.schema(OCCURRENCE.rpartition(", ")[0] + ", stored boolean").parquet(f"{store}/chunks")
@@ -273,11 +321,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
     def checked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            digests, crcs = part.column(0).to_pylist(), []
-            for digest, n, body in zip(digests, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            digests, crcs = part.column(0).to_numpy(zero_copy_only=False).tolist(), []
+            for digest, n, body in zip(digests, part.column(1).to_numpy().tolist(), part.column(2).to_numpy(zero_copy_only=False).tolist(), strict=True):
                 if hashlib.sha256(body).digest() != digest or len(body) not in (2 * n, 4 * n):
                     raise ValueError(f"chunk {digest.hex()} does not hold what its address says")
-                crcs.append(zlib.crc32(unpacked(body, n).astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(unpacked(body, n).astype("<u4", copy=False)))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(crcs, pa.int64())], ["stored_digest", "crc"])
 
     sums = chunks.mapInArrow(checked, "stored_digest binary, crc long")
@@ -300,8 +348,8 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
 
     def proved(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for root, chunks in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
-                if merkle_root([chunk_leaf(c["at"], c["n"], c["digest"]) for c in chunks]) != root:
+            for root, chunks in zip(part.column(4).to_pylist(), _lists(part.column(5), "at", "n", "digest"), strict=True):
+                if merkle_root([chunk_leaf(*c) for c in chunks]) != root:
                     raise ValueError("a recipe does not lead to its Merkle root")
             yield part.select([0, 1, 2, 3, 6])
 

@@ -220,3 +220,35 @@ def test_checksums_combine():
         after.append(n)
     out = np.bitwise_xor.reduce(token_store.crc_shifted(np.array(crcs), np.array(after)))
     assert int(out) == zlib.crc32(b"".join(parts))
+
+
+def test_chunks_cut_together_are_those_of_each_stream_alone():
+    """Short, empty and periodic streams, and ids beyond 16 bits; the hash is summed up id by id."""
+    rng = np.random.default_rng(7)
+    sizes = [0, 1, 3, 15, 16, 17, 0, 900, 5000, 2, 40]
+    for top in (4, 40_000, 90_000):
+        streams = [rng.integers(0, top, n).astype(np.int32) for n in sizes] + [np.full(9000, 3, np.int32)]
+        for found, stream in zip(token_store.chunk_streams(streams, 1), streams, strict=True):
+            ids = np.append(stream, np.int32(1))
+            gears, ends = token_store._gears(ids).tolist(), []
+            for i in range(len(ids)):
+                rolled = sum(pow(3, j) * gears[i - j] for j in range(min(token_store.SPAN, i + 1))) % (1 << 64)
+                if rolled >> (64 - token_store.CUT_BITS) == 0 or i + 1 == len(ids) or i + 1 - (ends[-1] if ends else 0) == token_store.LONGEST:
+                    ends.append(i + 1)
+            bodies = [token_store.packed(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            assert found == [(b - n, n, hashlib.sha256(x).digest(), x) for b, n, x in zip(ends, np.diff([0, *ends]).tolist(), bodies, strict=True)]
+
+
+def test_hashes_and_shifts_are_tables(monkeypatch):
+    """What is a function of an id, or of a power of two, is not worked out anew for each id and each checksum."""
+    worked = []
+    for name in ("_gears", "_crc_multiply"):
+        monkeypatch.setattr(token_store, name, lambda a, *rest, old=getattr(token_store, name): worked.append(np.size(a)) or old(a, *rest))
+    rng = np.random.default_rng(8)
+    for _ in range(10):
+        token_store.cut_points(rng.integers(0, 49_000, 20_000).astype(np.int32))
+    assert sum(worked) <= 1 << 16
+    worked.clear()
+    for _ in range(10):
+        token_store.crc_shifted(rng.integers(0, 1 << 32, 10_000), rng.integers(0, 1 << 20, 10_000))
+    assert sum(worked) <= 1025 * 20
