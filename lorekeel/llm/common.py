@@ -64,7 +64,11 @@ class Tables:
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
     def put(self, frame: DataFrame, narrow: bool = False) -> DataFrame:
-        """Write a table and read it; ``narrow`` rows of a few numbers are first gathered into files of the advisory size."""
+        """Write a table and read it; ``narrow`` rows of a few numbers are first gathered into files of the advisory size.
+
+        What an aggregation made needs no ``narrow``: Spark joins the small parts of its exchange
+        itself, and another exchange costs the driver a task, with all its metrics, for each part.
+        """
         path = f"{self.folder}/{len(self.paths)}"
         (frame.hint("rebalance") if narrow else frame).write.parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)

@@ -113,9 +113,11 @@ def _walk(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
     sums = fitting.groupBy("source", "bucket", "gap").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = sums.withColumn("offset", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
-    # the bucket in which the gap is reached, at most one for a source
-    cross = placed.where((F.col("offset") <= F.col("gap")) & (F.col("gap") < F.col("offset") + F.col("sum"))).select("source", "bucket", "offset")
-    inside = fitting.join(F.broadcast(cross.select(F.col("source").alias("of"), F.col("bucket").alias("in"), "offset")), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    # the bucket in which the gap is reached, at most one for a source; the windows have brought a source together already
+    reached = F.when((F.col("offset") <= F.col("gap")) & (F.col("gap") < F.col("offset") + F.col("sum")), F.struct("bucket", "offset"))
+    each = placed.groupBy("source").agg(F.max(reached).alias("cross"), F.sum("sum").alias("all"))
+    cross = each.where("cross is not null").select(F.col("source").alias("of"), F.col("cross.bucket").alias("in"), "cross.offset")
+    inside = fitting.join(F.broadcast(cross), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     # a range frame: rows of one key are taken together
     upto = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     run = inside.select("source", "key", "gap", (F.col("offset") + F.sum("size").over(upto)).alias("end"))
@@ -123,8 +125,7 @@ def _walk(narrow: DataFrame, state: DataFrame, bits: int) -> DataFrame:
     known = [
         state.select("source", F.struct(*state.columns).alias("state")),
         run.where(F.col("end") <= F.col("gap")).select("source", F.col("key").alias("last"), "end"),
-        cross.select("source", F.shiftleft("bucket", KEY_BITS - bits).alias("begin"), "offset"),
-        sums.groupBy("source").agg(F.sum("sum").alias("all")),
+        each.select("source", F.shiftleft("cross.bucket", KEY_BITS - bits).alias("begin"), "cross.offset", "all"),
     ]
     every = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), known)
     met = every.groupBy("source").agg(F.any_value("state", F.lit(True)).alias("state"), *[F.max(c).alias(c) for c in ("last", "end", "begin", "offset", "all")])
@@ -154,7 +155,7 @@ def source_plan(narrow: DataFrame, weights: Sequence[float], most: int, bits: in
         targets.withColumn("whole", whole).select("*", gap.alias("gap"), F.lit(1).cast("long").alias("filled"), F.array().cast("array<struct<gap:long,upto:long>>").alias("walks"))
     )
     while not state.where((F.col("filled") > 0) & (F.col("gap") > F.col("target") * TOLERANCE)).isEmpty():
-        state, last = tables.put(_walk(narrow, state, bits), narrow=True), state
+        state, last = tables.put(_walk(narrow, state, bits)), state
         tables.drop(last)
     left = _with_source(narrow, state.select("source", "gap", "walks", "whole")).where((F.col("size") > 0) & (F.col("gap") > 0) & (F.col("whole") < most) & ~_taken_in_walks())
     # rows of one key come in together, so their words count together

@@ -153,9 +153,9 @@ def _least_of_pair(a: Column, b: Column, kept: int) -> Column:
 def _survivors(classes: DataFrame, tables: Tables) -> DataFrame:
     """cid of the classes that share enough of their sketch with others for a partner to be possible."""
     held = classes.select("cid", "n", F.explode("sketch").alias("value"))
-    shared = tables.put(held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"), narrow=True)
+    shared = tables.put(held.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value"))
     met = held.join(_bounded(shared), "value", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("shared"))
-    out = tables.put(met.where(F.col("shared") >= _least(F.col("n"), KEPT)).select("cid"), narrow=True)
+    out = tables.put(met.where(F.col("shared") >= _least(F.col("n"), KEPT)).select("cid"))
     tables.drop(shared)
     return out
 
@@ -168,7 +168,7 @@ def _sets_of(cids: DataFrame, classes: DataFrame, docs: DataFrame, text: str, do
     found = full_sets(rows).join(_bounded(chosen.select("digest", "cid")), "digest")
     out = tables.put(found.select("cid", F.monotonically_increasing_id().alias("mark"), F.size("values").cast("long").alias("n"), F.slice("values", 1, KEPT).alias("sketch"), "values"))
     if out.count() > chosen.count():  # repeated rows
-        firsts = tables.put(out.groupBy("cid").agg(F.min("mark").alias("mark")).select("mark"), narrow=True)
+        firsts = tables.put(out.groupBy("cid").agg(F.min("mark").alias("mark")).select("mark"))
         out = out.join(_bounded(firsts), "mark", "left_semi")
     return out.drop("mark")
 
@@ -192,10 +192,10 @@ def _star_pairs(ranked: DataFrame) -> DataFrame:
 
 def _star_links(ranked: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
     """Links between list members and centres: those the lists themselves prove, and of the others each member's best one."""
-    pairs = tables.put(_star_pairs(ranked), narrow=True)
+    pairs = tables.put(_star_pairs(ranked))
     whole = (F.greatest("na", "nb") <= WIDE) & (F.col("lists") * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
     proven = pairs.where(whole).select("a", "b")
-    best = tables.put(pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b"), narrow=True)
+    best = tables.put(pairs.groupBy("a").agg(F.max(F.struct(whole.alias("proven"), "lists", "b")).alias("best")).where("not best.proven").select("a", "best.b"))
     links = _verified(best, sets, tables)
     return proven.unionByName(links)
 
@@ -206,18 +206,18 @@ def _whole_pass(ranked: DataFrame, labels: DataFrame, tables: Tables) -> DataFra
     held = ranked.join(named, "cid", "left").select("cid", "n", F.coalesce("label", "cid").alias("label"), F.explode("values").alias("at"))
     held = held.select("cid", "n", "label", "at.members", "at.value")
     spread = held.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("smallest"))
-    spread = tables.put(spread.where("low < high").select("value", "smallest"), narrow=True)
+    spread = tables.put(spread.where("low < high").select("value", "smallest"))
     met = held.join(_bounded(spread), "value")
     lists = met.groupBy("cid", "n", "label").agg(F.sort_array(F.collect_list(F.struct("members", "value", "smallest"))).alias("values"))
     at = lists.select("cid", "n", "label", F.size("values").alias("all"), F.posexplode("values").alias("pos", "at"))
     at = at.select("cid", "n", "label", (F.col("all") - F.col("pos")).alias("left"), "at.value", "at.smallest")
     n, least = F.col("n"), _least(F.col("n"), WIDE)
     useful = F.when(n * 100 <= WIDE * SIMILAR, F.col("left") >= _least_of_pair(n, F.col("smallest"), WIDE)).otherwise(True)
-    entries = tables.put(at.where((F.col("left") >= least) & useful).drop("smallest"), narrow=True)
+    entries = tables.put(at.where((F.col("left") >= least) & useful).drop("smallest"))
     x, y = entries.alias("x"), entries.alias("y")
     enough = F.least("x.left", "y.left") >= _least_of_pair(F.col("x.n"), F.col("y.n"), WIDE)
     met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & enough)
-    out = tables.put(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), narrow=True)
+    out = tables.put(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
     tables.drop(spread, entries)
     return out
 

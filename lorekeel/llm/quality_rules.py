@@ -138,18 +138,19 @@ def ratio_tables(frame: DataFrame, known: DataFrame) -> DataFrame:
     """
     hashes = F.col("hashes") if "hashes" in frame.columns else word_hashes(words_of(F.col("text")))
     met = folds_of(frame, known, "left").select("fold", hashes.alias("hashes"))
-    grams = met.select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
+    grams = met.select("fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"), F.lit(1).cast("long").alias("times"))
+    # every bucket is there, unseen ones with no times: the ratios then need no join
+    unseen = grams.sparkSession.range(0, BUCKETS, 1, 1).select(F.lit(None).cast("int").alias("fold"), F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("times"))
+    met = grams.select(F.col("fold").cast("int").alias("fold"), "bucket", "times").unionByName(unseen)
     targets = ("t", *[f"t{k}" for k in range(FOLDS)])
-    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("fold").alias("t"), *[F.count_if(F.col("fold") != k).alias(f"t{k}") for k in range(FOLDS)]), narrow=True)
+    counts = cut(met.groupBy("bucket").agg(F.sum("times").alias("raw"), F.count("fold").alias("t"), *[F.count_if(F.col("fold") != k).alias(f"t{k}") for k in range(FOLDS)]))
     sums = F.broadcast(counts.agg(F.sum("raw").alias("all_raw"), *[F.sum(t).alias(f"all_{t}") for t in targets]))
 
     def ratio(t: str) -> Column:
-        expected = F.col("raw") * F.col(f"all_{t}") / F.col("all_raw")
+        expected = F.col("raw") * F.col(f"all_{t}") / F.greatest("all_raw", F.lit(1))
         return F.round(F.log((F.col(t) + F.lit(PSEUDO)) / (expected + F.lit(PSEUDO))) * UNITS).cast("int")
 
-    seen = counts.join(sums, F.lit(True)).select("bucket", F.array(*map(ratio, targets)).alias("ratios"))
-    every = counts.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    return cut(every.join(seen, "bucket", "left").select("bucket", F.coalesce("ratios", F.array(*[F.lit(0)] * len(targets))).alias("ratios")), narrow=True)
+    return cut(counts.join(sums, F.lit(True)).select("bucket", F.array(*map(ratio, targets)).alias("ratios")))
 
 
 def mean_ratio(hashes: Column, table: list[int]) -> Column:
@@ -171,7 +172,7 @@ def held_out_threshold(frame: DataFrame, known: DataFrame, ratios: DataFrame) ->
     # numbered above the join: below it, Spark would move the filter on the words there too and hash every text again
     met = folds_of(frame, known, "inner").select(F.monotonically_increasing_id().alias("row"), "fold", word_hashes(words_of(F.col("text"))).alias("hashes"))
     grams = met.where(F.size("hashes") >= FEWEST_WORDS).select("row", "fold", F.explode(ngram_buckets(F.col("hashes"))).alias("bucket"))
-    scores = cut(grams.join(F.broadcast(ratios), "bucket").groupBy("row").agg((F.avg(F.get("ratios", F.col("fold") + 1)) / UNITS).alias("score")).select("score"), narrow=True)
+    scores = cut(grams.join(F.broadcast(ratios), "bucket").groupBy("row").agg((F.avg(F.get("ratios", F.col("fold") + 1)) / UNITS).alias("score")).select("score"))
     whole = scores.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev("score").alias("deviation")).first()
     if whole["n"] < 2:
         return -math.inf
@@ -197,7 +198,8 @@ def quality_scores(
     ratios = ratio_tables(bare.select("id", "text"), known)
     if threshold is None:
         threshold = held_out_threshold(bare.select("id", "text"), known, ratios)
-    table = [r["ratio"] for r in ratios.select("bucket", F.col("ratios")[0].alias("ratio")).orderBy("bucket").collect()]  # BUCKETS rows
+    found = ratios.select("bucket", F.col("ratios")[0].alias("ratio")).collect()  # BUCKETS rows, sorted here: a sort of them in Spark is an exchange
+    table = [ratio for _, ratio in sorted(found)]
     scored = base_counts(frame).withColumn("score", mean_ratio(F.col("hashes"), table))
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     scored = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))

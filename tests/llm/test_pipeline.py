@@ -65,3 +65,26 @@ def test_threshold_of_the_quality_stage_is_of_all_trusted_documents(spark, tmp_p
     assert found == [pytest.approx(want, abs=1e-6)]
     for i, score in enumerate(scores):  # a ratio that lies between two whole numbers may be rounded either way
         assert (i in kept) == (score >= want) or abs(score - want) < 1e-4
+
+
+def test_small_tables_take_few_tasks(spark, tmp_path):
+    """The driver keeps metrics of every task: small results are not exchanged once more to be written, nor sorted to be collected."""
+    spark.createDataFrame(rows(), DOCS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, sc, took = {k: spark.conf.get(k) for k in held}, spark.sparkContext, {}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for stage in (corpus_pipeline.quality, corpus_pipeline.near, corpus_pipeline.mixture):
+            sc.setJobGroup(f"few-{stage.__name__}", "")
+            stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).write.parquet(f"{tmp_path}/{stage.__name__}")
+            sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            seen = sc.statusTracker()
+            ids = {i for job in seen.getJobIdsForGroup(f"few-{stage.__name__}") for i in seen.getJobInfo(job).stageIds}
+            took[stage.__name__] = sum(info.numCompletedTasks for i in ids if (info := seen.getStageInfo(i)))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert took["quality"] <= 300 and took["near"] <= 600 and took["mixture"] <= 360, took  # 418, 735 and 420 with those exchanges
