@@ -5,7 +5,8 @@ smallest identifier and its number of rows. Runs then meet in rounds. A round
 exchanges the runs whose numbers agree above the lowest ``fan_bits`` bits (so it
 is that many binomial rounds in one multiway merge), merges them in digest order
 and keeps the smallest identifier, after checking that the second fingerprint of
-the merged entries agrees. Entries are spread over tasks by (digest, run), so no
+the merged entries agrees. A run is made on the sending side of the first round,
+where its partition lies whole, so it needs no exchange of its own. Entries are spread over tasks by (digest, run), so no
 task holds a whole run, and a digest that a third of all rows share arrives as at
 most one entry for each run and task, never as its rows.
 """
@@ -52,9 +53,9 @@ def merged_runs(entries: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
         )
         return together.select("digest", "run", "best", "n", proof.alias("low"), proof.alias("high"))
 
-    runs = merge(first)
+    runs = first
     highest = entries.agg(F.max("run").alias("top")).first()["top"] or 0
-    for _ in range(math.ceil((int(highest).bit_length()) / fan_bits)):
+    for _ in range(max(1, math.ceil((int(highest).bit_length()) / fan_bits))):
         runs = merge(runs.withColumn("run", F.shiftright("run", fan_bits)))
     return runs.select("digest", "best", "n", F.col("low").alias("proof"))
 
@@ -80,7 +81,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     their names cannot clash.
     """
     entries = cut(_entries(docs, text, doc_id).withColumn("run", F.shiftright("ord", 33)))
-    best = cut(merged_runs(entries))
+    best = merged_runs(entries)
     row, keep = entries.alias("row"), best.alias("keep")
     return row.join(keep, F.col("row.digest") == F.col("keep.digest")).select(
         F.col("row.id").alias("doc_id"),

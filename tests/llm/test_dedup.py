@@ -1,8 +1,10 @@
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 from lorekeel.llm import components, exact_dedup, near_dedup
+from lorekeel.llm.common import shared_dir
 
 from .helpers import DOCS, normal, prose, rows, shingles
 from .helpers import components as brute_components
@@ -37,6 +39,20 @@ def test_exact_rounds_do_not_change_the_result(spark):
     assert sorted(map(str, few)) == sorted(map(str, exact_dedup.exact_duplicates(docs.coalesce(1)).select("doc_id", "keep_id", "group_size").collect()))
 
 
+def test_exact_duplicates_write_their_entries_only_and_exchange_runs_once_a_round(spark):
+    def parts():
+        return sum(1 for _ in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+
+    shared_dir(spark)
+    docs, before = frame(spark, rows()).repartition(20), parts()
+    out = exact_dedup.exact_duplicates(docs)
+    assert parts() - before == 20
+    # 20 runs meet in two rounds; the other two exchanges are those of the join
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 4
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(digest") == 4
+    assert out.count() == len(rows())
+
+
 def test_drop_exact_duplicates_keeps_columns_and_one_row_of_each_text(spark):
     data = rows()
     docs = frame(spark, data)
