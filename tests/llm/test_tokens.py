@@ -10,7 +10,7 @@ from tokenizers import Tokenizer, models
 
 from lorekeel.llm import bpe_codec, token_counts, token_store
 
-from .helpers import DOCS, WORD, rows, tokenizer
+from .helpers import DOCS, WORD, prose, rows, tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -124,6 +124,43 @@ def test_token_counts_against_the_library(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_words_are_counted_together_and_once():
+    scores = token_counts.vocabulary(tokenizer("piece_bpe_32k.model"))
+    unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *scores.items()], 0, False))
+    trie = token_counts.PrefixTrie(scores)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("thereandoéßü▁|.%") for _ in range(rng.randint(1, 90))) for _ in range(600)]
+    words += ["the", "then", "thenthen", "x" * 63, "x" * 64, "x" * 65, "a\0", "a", "\0", "a\x85b\xa0c\x1c\u3000d"]
+    tokens = ["", *(token_counts.MARK + w for w in words)]
+    assert trie.counts(tokens).tolist() == [len(unigram.encode(t).ids) for t in tokens]
+    odd = [token_counts.MARK + w for w in ("😀", "a😀\U0010ffff", "\ue000the", "\u07ff\u0800")]
+    assert trie.counts(odd).tolist() == [trie.count(t) for t in odd]
+    # ties (the longest piece wins) and a vocabulary without single characters
+    for own in ({"ab": -2.0, "a": -1.0, "b": -1.0, "abab": -4.0}, {"ab": -1.0, "bca": -1.5}, {}):
+        small, texts = token_counts.PrefixTrie(own), ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+        assert small.counts(texts).tolist() == [small.count(t) for t in texts]
+
+    asked = []
+    counted, trie.counts = trie.counts, lambda found: asked.extend(found) or counted(found)
+    keeper = token_counts.WordCounts(trie)
+    texts = [" ".join(words[:300]), "", " \t\n\v\f\r", "the\x0bthen\rthe", " ".join(words[200:])] * 3
+    want = [[trie.count(token_counts.MARK + w) for w in WORD.findall(t)] for t in texts]
+    for _ in range(2):
+        assert keeper.of_texts([t.encode() for t in texts]) == (list(map(len, want)), list(map(sum, want)))
+    assert sorted(asked) == sorted({token_counts.MARK + w for t in texts for w in WORD.findall(t)})
+    few = token_counts.WordCounts(trie, limit=10)  # starts anew, and results stay
+    assert [few.of_texts([t.encode()]) for t in texts] == [([len(w)], [sum(w)]) for w in want]
+
+
+def test_a_text_longer_than_a_piece_is_counted_whole(monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 50)
+    keeper = token_counts.WordCounts(token_counts.PrefixTrie(token_counts.vocabulary(tokenizer("piece_bpe_32k.model"))))
+    text = prose(random.Random(3), 400) + "\x0b" + "é" * 200 + " the"
+    found = WORD.findall(text)
+    assert b"".join(token_counts._cut(text.encode())) == text.encode()
+    assert keeper.of_texts([text.encode()]) == ([len(found)], [sum(keeper.trie.count(token_counts.MARK + w) for w in found)])
+
+
 def test_store_reads_back_what_was_written(spark, library):
     data = rows()
     docs = spark.createDataFrame(data, DOCS).repartition(4)
